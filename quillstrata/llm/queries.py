@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, mixing
+from quillstrata.llm import bpe, mixing, repetition
 from quillstrata.llm.common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +60,14 @@ FROM rated CROSS JOIN off
 """
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_report(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Query] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
