@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, mixing, repetition
+from quillstrata.llm import bpe, mixing, pii, repetition
 from quillstrata.llm.common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_report(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_personal_data": op3_personal_data,
     "op6_mix_sources": op6_mix_sources,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
