@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, mixing, pii, repetition
+from quillstrata.llm import bpe, mixing, multiset_hash, pii, repetition
 from quillstrata.llm.common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,11 +68,16 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_personal_data": op3_personal_data,
     "op6_mix_sources": op6_mix_sources,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_multiset_fingerprint": op9_multiset_fingerprint,
 }
 
 ORACLE_SQL: dict[str, str] = {
