@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, mixing, multiset_hash, pii, repetition
+from quillstrata.llm import bpe, langid, mixing, multiset_hash, pii, repetition
 from quillstrata.llm.common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,12 +72,18 @@ def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return langid.identify(docs, langid.fit(langid.sample(docs)))
+
+
 QUERIES: dict[str, Query] = {
     "op3_personal_data": op3_personal_data,
     "op6_mix_sources": op6_mix_sources,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_multiset_fingerprint": op9_multiset_fingerprint,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
