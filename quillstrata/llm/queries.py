@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, langid, mixing, multiset_hash, pii, repetition
+from quillstrata.llm import bpe, langid, mixing, multiset_hash, nbsvm, pii, repetition
 from quillstrata.llm.common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,7 +77,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(langid.sample(docs)))
 
 
+def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return nbsvm.classify(docs, nbsvm.fit(nbsvm.sample(docs, table(spark, sf_dir, "labels"))))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_quality_nbsvm": op2_quality_nbsvm,
     "op3_personal_data": op3_personal_data,
     "op6_mix_sources": op6_mix_sources,
     "op7_byte_bpe": op7_byte_bpe,
