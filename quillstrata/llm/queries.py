@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, langid, mixing, multiset_hash, nbsvm, pii, repetition
+from quillstrata.llm import bpe, credentials, langid, mixing, multiset_hash, nbsvm, pii, repetition
 from quillstrata.llm.common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,9 +82,14 @@ def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(docs, nbsvm.fit(nbsvm.sample(docs, table(spark, sf_dir, "labels"))))
 
 
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_nbsvm": op2_quality_nbsvm,
     "op3_personal_data": op3_personal_data,
+    "op5_linked_secrets": op5_linked_secrets,
     "op6_mix_sources": op6_mix_sources,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
