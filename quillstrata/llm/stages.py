@@ -8,12 +8,32 @@ from collections.abc import Callable, Sequence
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe
+from quillstrata.llm import bpe, credentials, mixing, repetition, simhash
 from quillstrata.llm.common import spread, work_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return repetition.kept_documents(spread(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest id."""
+    return simhash.first_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with reported secrets masked and n_chars set to the new length."""
+    return credentials.redact_secrets(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy of a document that the sample takes."""
+    return mixing.mixed_documents(docs)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: doc_id, n_tokens, hashes and the ids of each document, one row per copy that the mix takes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +41,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("simhash_near_dedup", near_dedup),
+    ("secret_scans", secrets),
+    ("mixing", mixture),
     ("byte_bpe", tokenize),
 ]
 
