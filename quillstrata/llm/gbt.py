@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,22 +25,19 @@ class Trees:
             out += leaf[at - (1 << self.depth) + 1]
         return out
 
-    def to_json(self) -> str:
-        bound = [[round(float(v), 5) if np.isfinite(v) else 1e30 for v in row] for row in self.bound]
-        leaf = [[round(float(v), 5) for v in row] for row in self.leaf]
-        return json.dumps({"depth": self.depth, "bias": round(self.bias, 5), "feature": self.feature.tolist(), "bound": bound, "leaf": leaf}, separators=(",", ":"))
 
-    @classmethod
-    def from_json(cls, text: str) -> Trees:
-        d = json.loads(text)
-        return cls(d["depth"], d["bias"], np.array(d["feature"], np.int64), np.array(d["bound"], np.float64), np.array(d["leaf"], np.float64))
-
-
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 48, ridge: float = 2.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 2.0) -> Trees:
     """Boosted trees on rows ``x`` with labels 0 and 1."""
     n, m = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
-    binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
+    cuts = [c[c < x[:, j].max()] for j, c in enumerate(cuts)]
+    sizes = np.array([len(c) + 1 for c in cuts])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))  # the bins of all features lie side by side
+    wide = int(sizes.sum())
+    binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1) + starts
+    bound_of = np.concatenate([np.append(c, np.inf) for c in cuts])
+    feature_of = np.repeat(np.arange(m), sizes)
+    ends = starts + sizes - 1
     p = float((weight * y).sum() / weight.sum())
     bias = float(np.log(p / (1 - p)))
     score = np.full(n, bias)
@@ -54,23 +50,20 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
         at = np.zeros(n, np.int64)
         for level in range(depth):
             first, width = (1 << level) - 1, 1 << level
-            best = np.zeros(width)
-            for j in range(m):
-                key = (at - first) * (bins + 1) + binned[:, j]
-                hg = np.bincount(key, g, width * (bins + 1)).reshape(width, -1)
-                hh = np.bincount(key, h, width * (bins + 1)).reshape(width, -1)
-                lg, lh = hg.cumsum(1)[:, :-1], hh.cumsum(1)[:, :-1]
-                tg, th = hg.sum(1, keepdims=True), hh.sum(1, keepdims=True)
-                gain = lg**2 / (lh + ridge) + (tg - lg) ** 2 / (th - lh + ridge) - tg**2 / (th + ridge)
-                gain = np.where((lh > 1) & (th - lh > 1), gain, 0)[:, : len(cuts[j])]
-                if not gain.shape[1]:
-                    continue
-                k = gain.argmax(1)
-                top = gain[np.arange(width), k]
-                better = top > best + 1e-9
-                best[better] = top[better]
-                f[first : first + width][better] = j
-                b[first : first + width][better] = cuts[j][k[better]]
+            key = ((at - first)[:, None] * wide + binned).ravel()
+            hg = np.bincount(key, np.repeat(g, m), width * wide).reshape(width, wide)
+            hh = np.bincount(key, np.repeat(h, m), width * wide).reshape(width, wide)
+            lg, lh = hg.cumsum(1), hh.cumsum(1)
+            tg, th = (c[:, ends[0]][:, None] for c in (lg, lh))  # any one feature's bins hold all rows
+            lg -= np.repeat(np.concatenate((np.zeros((width, 1)), lg[:, ends[:-1]]), axis=1), sizes, axis=1)
+            lh -= np.repeat(np.concatenate((np.zeros((width, 1)), lh[:, ends[:-1]]), axis=1), sizes, axis=1)
+            gain = lg**2 / (lh + ridge) + (tg - lg) ** 2 / (th - lh + ridge) - tg**2 / (th + ridge)
+            gain = np.where((lh > 1) & (th - lh > 1), gain, 0)
+            gain[:, ends] = 0
+            k = gain.argmax(1)
+            better = gain[np.arange(width), k] > 1e-9
+            f[first : first + width][better] = feature_of[k[better]]
+            b[first : first + width][better] = bound_of[k[better]]
             at = 2 * at + 1 + (x[np.arange(n), f[at]] > b[at])
         end = at - nodes
         leaf = -rate * np.bincount(end, g, 1 << depth) / (np.bincount(end, h, 1 << depth) + ridge)

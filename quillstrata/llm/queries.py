@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, credentials, langid, mixing, multiset_hash, nbsvm, pii, repetition, simhash
+from quillstrata.llm import bpe, credentials, extract, langid, mixing, multiset_hash, nbsvm, pii, repetition, simhash
 from quillstrata.llm.common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_quality_nbsvm": op2_quality_nbsvm,
     "op3_personal_data": op3_personal_data,
+    "op4_main_text": op4_main_text,
     "op5_linked_secrets": op5_linked_secrets,
     "op6_mix_sources": op6_mix_sources,
     "op7_byte_bpe": op7_byte_bpe,
