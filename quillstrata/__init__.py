@@ -1,0 +1 @@
+"""A Spark-native engine for searching collections of source files and documents."""

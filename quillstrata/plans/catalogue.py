@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillstrata.plans import text
+from quillstrata.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "text"]
 
-FLAGSHIP = "keyword_literal"
-
-
-def keyword_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line_text"))
-    return lines.where(F.col("line_text").contains("the")).select("doc_id", (F.col("i") + 1).cast("bigint").alias("line"), "line_text")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"keyword_literal": keyword_literal}
-
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "keyword_topn"
