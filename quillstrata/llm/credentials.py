@@ -11,6 +11,8 @@ both lengths gives each start. Only texts that contain a match are taken apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,10 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
+def _of_rank(rank: int) -> Callable[[Column], Column]:
+    return lambda s: s["rank"] == rank  # of one argument: a second one would be the element's index
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (base spans), base_sha256 and spans for each row; null texts count as empty.
 
@@ -112,7 +118,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     empty one. Positions are code points, ends exclusive.
     """
     found = find_spans(docs)
-    counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("bigint").alias(f"n_{k}") for r, k in enumerate(BASE)]
+    counts = [F.size(F.filter("base", _of_rank(r))).cast("bigint").alias(f"n_{k}") for r, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
