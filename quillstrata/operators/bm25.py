@@ -8,8 +8,10 @@ materialised form, for many queries over a corpus that is written once.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.functions import text as fn
@@ -29,6 +31,10 @@ def idf(n, df):
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda t: t == word
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: how many chunks, and their mean length in tokens."""
     return chunks.agg(F.count("*").cast("bigint").alias("n_docs"), F.avg(F.size(fn.tokens(F.col("text")))).alias("avg_len"))
@@ -44,7 +50,7 @@ def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFra
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
     toks = F.col("_tokens")
     counted = chunks.withColumn("_tokens", fn.tokens(F.col("text")))
-    tfs = [F.size(F.filter(toks, lambda t, w=w: t == w)).cast("double").alias(f"_tf{i}") for i, w in enumerate(terms)]
+    tfs = [F.size(F.filter(toks, _is(w))).cast("double").alias(f"_tf{i}") for i, w in enumerate(terms)]
     keep = [c for c in chunks.columns if c != "score"]
     joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
     whole = F.lit(True)
@@ -65,15 +71,29 @@ def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFra
     return counted.where(any_term & F.col("_whole")).crossJoin(F.broadcast(stats)).select(*keep, score.alias("score"))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions of each term of each row; a row's tokens are read once, in order."""
+    for batch in batches:
+        ids, terms, places, sizes = [], [], [], []
+        for key, toks in zip(batch.column("id").to_pylist(), batch.column("t"), strict=True):
+            own = toks.as_py()
+            at: dict[str, list[int]] = {}
+            for k, t in enumerate(own):
+                at.setdefault(t, []).append(k)
+            ids += [key] * len(at)
+            sizes += [len(own)] * len(at)
+            terms += at.keys()
+            places += at.values()
+        columns = [pa.array(terms, pa.string()), pa.array(ids, batch.schema.field("id").type), pa.array(map(len, places), pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf", "positions", "len"])
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, id, tf, positions, len): the inverted index, grouped within each chunk, so that nothing is shuffled."""
+    """(term, id, tf, positions, len): the inverted index. A chunk's postings are made where it is read, so building the
+    index shuffles nothing; to serve queries it is written partitioned by a hash of the term."""
+    kind = chunks.schema["id"].dataType.simpleString()
     toks = chunks.select("id", fn.tokens(F.col("text")).alias("t"))
-    at = F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("at")))
-    terms = F.transform(
-        F.array_distinct("t"),
-        lambda w: F.struct(w.alias("term"), F.transform(F.filter(at, lambda x: x["term"] == w), lambda x: x["at"].cast("int")).alias("positions")),
-    )
-    return toks.select("id", F.size("t").alias("len"), F.inline(terms)).select("term", "id", F.size("positions").alias("tf"), "positions", "len")
+    return toks.mapInArrow(_listed, f"term string, id {kind}, tf int, positions array<int>, len int")
 
 
 def phrase(postings_of: DataFrame, words: list[str]) -> DataFrame:

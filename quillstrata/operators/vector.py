@@ -6,6 +6,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,51 +16,38 @@ from quillstrata.model import StoreError
 METRICS = ("cosine", "l2")
 
 
-def _sum(terms: list[Column]) -> Column:
-    """A balanced sum, so that the expression is shallow."""
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
+def _distances(vectors: pa.Array, q: np.ndarray, metric: str) -> pa.Array:
+    """Distances of one Arrow batch; null for null vectors, other lengths, null components and, under cosine, zeros."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), len(q)), False)
+    x = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "l2":
+            value = np.square(x - q).sum(axis=1)
+        else:
+            value = 1.0 - (x @ q) / (np.sqrt(np.square(x).sum(axis=1)) * np.sqrt(q @ q))
+    out = np.full(len(vectors), np.nan)
+    out[fits.to_numpy(zero_copy_only=False)] = value
+    return pa.array(out, pa.float64(), mask=~np.isfinite(out))
 
 
 def distance(vector: Column, query: list[float], metric: str = "cosine") -> Column:
-    """Cosine distance, or squared Euclidean distance, of an array column to a query; null for other lengths.
+    """Cosine distance, or squared Euclidean distance, of an array column to a query; null where there is none.
 
-    Up to 256 dimensions the sum is written out, and so compiled; longer vectors go to numpy in Arrow batches.
+    Spark's array functions are interpreted element by element; numpy takes a whole Arrow batch at once.
     """
     if metric not in METRICS:
         raise StoreError(f"no such metric: {metric}")
-    if not query or not all(np.isfinite(query)):
+    q = np.array(query, np.float64)
+    if q.ndim != 1 or not len(q) or not np.isfinite(q).all():
         raise StoreError("a query vector must have finite components")
-    q = [float(x) for x in query]
-    if len(q) > 256:
-        return _distance_arrow(q, metric)(vector)
-    at = [F.get(vector, F.lit(i)).cast("double") for i in range(len(q))]
-    if metric == "l2":
-        value = _sum([(a - x) * (a - x) for a, x in zip(at, q, strict=True)])
-    else:
-        dot, norm = _sum([a * x for a, x in zip(at, q, strict=True)]), _sum([a * a for a in at])
-        value = 1.0 - dot / F.nullif(F.sqrt(norm) * F.lit(sqrt(sum(x * x for x in q))), F.lit(0.0))
-    return F.when(F.size(vector) == len(q), value)
-
-
-def _distance_arrow(q: list[float], metric: str):
+
     @F.arrow_udf("double")
     def run(vectors: pa.Array) -> pa.Array:
-        out: list[float | None] = []
-        own = np.array(q)
-        for v in vectors:
-            x = np.array(v.as_py() or [], float)
-            if len(x) != len(own):
-                out.append(None)
-            elif metric == "l2":
-                out.append(float(((x - own) ** 2).sum()))
-            else:
-                norm = float(np.sqrt((x @ x) * (own @ own)))
-                out.append(1.0 - float(x @ own) / norm if norm else None)
-        return pa.array(out, pa.float64())
-
-    return run
+        return _distances(vectors, q, metric)
+
+    return run(vector)
 
 
 def vector_search(chunks: DataFrame, query: list[float], limit: int = 30, repo: str | None = None, metric: str = "cosine", by: tuple[str, ...] = ("repo", "file", "start_line")) -> DataFrame:

@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once, into the folder that the cluster names in spark.checkpoint.dir; one of our own where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstrata-"))
+    return df.checkpoint()
+
+
 def big(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("bigint")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstrata.plans import text
+from quillstrata.plans import search, structure, text
 from quillstrata.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "text"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "search", "structure", "text"]
 
-FLAGSHIP = "keyword_topn"
+FLAGSHIP = "hybrid_search"
