@@ -150,7 +150,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, least) for each node of an edge: the least node that it is connected to.
+    """(node, least) for each node of an edge but the least ones themselves: the least node that it is connected to.
 
     Alternates the large-star and small-star steps (Kiveris et al., SoCC 2014) on edges a < b until no edge changes; each
     round is cut from its past by a checkpoint. Stars are joins on the node, so no neighbourhood is collected.
