@@ -87,7 +87,7 @@ def masked(text: str, language: str) -> str:
 
 _MORE_BEFORE = re.compile(r"(?:[=+\-*%&|^<>?:,.(\[{!~]|\b(?:extends|implements|throws|where|return|async|default|const|export|public|private|static|in|of))\s*\Z")
 _MORE_AFTER = re.compile(r"\s*(?:\{|\.(?!\.)|[=?:,)&|+*%^<>]|->|\b(?:extends|implements|throws|where|else|catch|finally|as|satisfies|instanceof)\b)")
-_AFTER_BLOCK = re.compile(r"[ \t]*(?:[;.,)(=?:&|+\-*/\[]|\b(?:as|satisfies|instanceof)\b)|\s*\b(?:else|catch|finally)\b|\s*(?:=>|\.\w)")
+_AFTER_BLOCK = re.compile(r"[ \t]*(?:[;.,)(=?:&|+\-*/\[>]|\b(?:as|satisfies|instanceof)\b)|\s*\b(?:else|catch|finally)\b|\s*(?:=>|\.\w)")
 
 
 def statements(code: str, start: int, end: int, line_ends: bool) -> Iterator[tuple[int, int]]:
