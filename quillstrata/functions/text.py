@@ -60,7 +60,7 @@ def chunk_id(repo: Column, file: Column, symbol_name: Column, chunk_type: Column
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")  # compiled, unlike a filter by a lambda
 
 
 def query_class(query: Column) -> Column:

@@ -8,10 +8,10 @@ materialised form, for many queries over a corpus that is written once.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.functions import text as fn
@@ -31,10 +31,6 @@ def idf(n, df):
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-def _is(word: str) -> Callable[[Column], Column]:
-    return lambda t: t == word
-
-
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: how many chunks, and their mean length in tokens."""
     return chunks.agg(F.count("*").cast("bigint").alias("n_docs"), F.avg(F.size(fn.tokens(F.col("text")))).alias("avg_len"))
@@ -49,26 +45,29 @@ def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFra
     if not terms:
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
     toks = F.col("_tokens")
-    counted = chunks.withColumn("_tokens", fn.tokens(F.col("text")))
-    tfs = [F.size(F.filter(toks, _is(w))).cast("double").alias(f"_tf{i}") for i, w in enumerate(terms)]
     keep = [c for c in chunks.columns if c != "score"]
-    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
-    whole = F.lit(True)
-    for phrase in phrases:
-        whole = whole & joined.contains(" " + " ".join(phrase) + " ")
-    counted = counted.select(*keep, F.size(toks).cast("double").alias("_len"), *tfs, whole.alias("_whole"))
+    own = [F.size(toks).cast("double").alias("_len")]
+    own += [(F.size(toks) - F.size(F.array_remove(toks, w))).cast("double").alias(f"_tf{i}") for i, w in enumerate(terms)]
     sums = [F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg")]
     sums += [F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"_df{i}") for i in range(len(terms))]
-    stats = counted.agg(*sums)  # one row: its size does not grow
+    stats = chunks.select(fn.tokens(F.col("text")).alias("_tokens")).select(*own).agg(*sums)  # one row: its size does not grow
+    # a chunk with a term has it in its text: that is cheap to see, and only such chunks are cut into tokens again
+    maybe = F.lit(False)
+    for w in terms:
+        maybe = maybe | F.lower("text").contains(w)
+    counted = chunks.where(maybe).withColumn("_tokens", fn.tokens(F.col("text")))
+    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    for words in phrases:
+        counted = counted.where(joined.contains(" " + " ".join(words) + " "))
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf = F.col(f"_tf{i}")
         norm = tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg"))
         score = score + F.when(tf > 0, idf(F.col("_n"), F.col(f"_df{i}")) * tf * (k1 + 1) / norm).otherwise(0.0)
-    any_term = F.lit(False)
-    for i in range(len(terms)):
-        any_term = any_term | (F.col(f"_tf{i}") > 0)
-    return counted.where(any_term & F.col("_whole")).crossJoin(F.broadcast(stats)).select(*keep, score.alias("score"))
+    # every weight is positive, so a chunk without a term scores 0; a test of the counts themselves would be pushed down
+    # and make the tokens twice
+    scored = counted.select(*keep, *own).crossJoin(F.broadcast(stats)).select(*keep, score.alias("score"))
+    return scored.where("score > 0")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
