@@ -62,7 +62,7 @@ def index_full(spark: SparkSession, store: ChunkStore, catalog: Catalog, name: s
     """The repo's part of the table is written anew and swapped in; an error before that changes nothing."""
     sha, branch = (head.sha, head.branch) if head else ("unknown", "")
     catalog.set_meta(f"pending:{name}", sha, profile)
-    store.replace_repo(name, _embedded(spark, name, root, backend), profile)
+    store.replace([name], _embedded(spark, name, root, backend), profile)
     chunks = store.chunks(profile, name).count()
     _stamp(catalog, name, sha, branch, chunks, backend, profile)
     return IndexResult(name, "full", chunks, f"{chunks} chunks")

@@ -1,18 +1,18 @@
 """The chunk table on disk: one folder of Parquet versions for each profile, partitioned by repo.
 
 A change writes a new version beside the old one and then replaces the pointer file, so a reader never sees half of it and
-a crash leaves the old version in force. A version's repos that a change does not touch are linked in as they are: the
-pointer lists, for each repo, the folder that holds it.
+a crash leaves the old version in force. Repos that a change does not touch stay where they are: the pointer lists, for
+each repo, the folder that holds it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import shutil
 import uuid
 from collections.abc import Callable
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,28 +62,32 @@ class ChunkStore:
         found = [p.parent.name for p in self.root.glob("code_index*/current.json")]
         return sorted("default" if n == "code_index" else n.removeprefix("code_index__") for n in found)
 
-    def chunks(self, profile: str = "default", repo: str | None = None) -> DataFrame:
-        """The table, or one repo of it; empty if there is none. Only the folders of the repos asked for are read."""
-        paths = [p for r, p in sorted(self._pointer(profile)["repos"].items()) if repo is None or r == repo]
+    def chunks(self, profile: str = "default", repo: str | list[str] | None = None) -> DataFrame:
+        """The table, or some repos of it; empty if there is none. Only the folders of the repos asked for are read."""
+        wanted = {repo} if isinstance(repo, str) else None if repo is None else set(repo)
+        paths = [p for r, p in sorted(self._pointer(profile)["repos"].items()) if wanted is None or r in wanted]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*(str(self._folder(profile) / p) for p in paths))
 
     # changes
 
-    def _write(self, rows: DataFrame, profile: str, repo: str) -> str:
-        name = f"data/{uuid.uuid4().hex}"
-        # within a file, rows lie by file and line, so that statistics of row groups prune look-ups
-        rows.select(*COLUMNS).repartition("file").sortWithinPartitions("file", "start_line").write.parquet(str(self._folder(profile) / name))
-        return name
-
-    def _replace(self, profile: str, parts: dict[str, DataFrame | None]) -> None:
-        state = self._pointer(profile)
-        for repo, rows in parts.items():
-            if rows is None:
-                state["repos"].pop(repo, None)
+    def _replace(self, profile: str, repos: list[str], rows: DataFrame | None) -> None:
+        """The repos' rows are ``rows`` from now on. One job writes all of them, a folder for each repo, then the pointer
+        moves. A repo without rows leaves the table."""
+        state, name = self._pointer(profile), f"data/{uuid.uuid4().hex}"
+        folder = self._folder(profile) / name
+        if rows is not None:
+            part = F.md5("repo").alias("part")
+            # rows lie by repo, file and line, so that statistics of row groups prune look-ups within a file
+            dealt = rows.select(*COLUMNS, part).repartition("repo", "file").sortWithinPartitions("part", "file", "start_line")
+            dealt.write.partitionBy("part").parquet(str(folder))
+        for repo in repos:
+            own = f"{name}/part={hashlib.md5(repo.encode()).hexdigest()}"
+            if (self._folder(profile) / own).exists():
+                state["repos"][repo] = own
             else:
-                state["repos"][repo] = self._write(rows, profile, repo)
+                state["repos"].pop(repo, None)
         state["indexes"] = {}  # they are of the version before
         self._point(profile, state)
 
@@ -94,29 +98,29 @@ class ChunkStore:
         """Rows of new ids are added, rows of known ids replaced. No rows, no change."""
         new = conform(chunks)
         self._check(new, profile)
-        self._replace(profile, {r: changes.upsert(self.chunks(profile, r), new.where(F.col("repo") == r), "id") for r in self._repos_of(new)})
-
-    def replace_repo(self, repo: str, chunks: DataFrame, profile: str = "default") -> None:
-        """All of a repo's rows at once, so that nothing of an earlier state survives."""
-        new = conform(chunks).where(F.col("repo") == repo)
-        if not [r for r in self._pointer(profile)["repos"] if r != repo]:
-            self._replace(profile, {repo: new})
-            return
-        self._check(new, profile, but=repo)
-        self._replace(profile, {repo: new})
-
-    def _check(self, new: DataFrame, profile: str, but: str | None = None) -> None:
+        repos = self._repos_of(new)
+        if repos:
+            self._replace(profile, repos, changes.upsert(self.chunks(profile, repos), new, "id"))
+
+    def replace(self, repos: list[str], chunks: DataFrame, profile: str = "default") -> None:
+        """All rows of the repos at once, so that nothing of an earlier state survives."""
+        new = conform(chunks).where(F.col("repo").isin(repos))
+        if set(self._pointer(profile)["repos"]) - set(repos):
+            self._check(new, profile, but=repos)
+        self._replace(profile, repos, new)
+
+    def _check(self, new: DataFrame, profile: str, but: list[str] = []) -> None:  # noqa: B006
         first = new.where("vector IS NOT NULL").select(F.size("vector").alias("n")).head()
         if first:
-            check_dims(self.chunks(profile).where(F.col("repo") != but) if but else self.chunks(profile), first.n)
+            check_dims(self.chunks(profile, [r for r in self._pointer(profile)["repos"] if r not in but]), first.n)
 
     def _keep(self, profile: str, repo: str, rule: Callable[[DataFrame], DataFrame]) -> None:
         if repo in self._pointer(profile)["repos"]:
-            self._replace(profile, {repo: rule(self.chunks(profile, repo))})
+            self._replace(profile, [repo], rule(self.chunks(profile, repo)))
 
     def delete_repo(self, repo: str, profile: str = "default") -> None:
         if repo in self._pointer(profile)["repos"]:
-            self._replace(profile, {repo: None})
+            self._replace(profile, [repo], None)
 
     def delete_files(self, repo: str, files: list[str], profile: str = "default") -> None:
         gone = self.spark.createDataFrame([(f,) for f in files], "file string")
@@ -133,11 +137,14 @@ class ChunkStore:
 
     def compact(self, profile: str = "default") -> None:
         """Repos written anew in few files, and what no pointer names removed."""
-        self._replace(profile, {r: self.chunks(profile, r).coalesce(1 + self.chunks(profile, r).rdd.getNumPartitions() // 4) for r in self._pointer(profile)["repos"]})
+        repos = list(self._pointer(profile)["repos"])
+        if repos:
+            self._replace(profile, repos, self.chunks(profile))
         state = self._pointer(profile)
         used = {*state["repos"].values(), *(x["path"] for x in state["indexes"].values())}
         for folder in (*self._folder(profile).glob("data/*"), *self._folder(profile).glob("index/*")):
-            if str(folder.relative_to(self._folder(profile))) not in used:
+            own = str(folder.relative_to(self._folder(profile)))
+            if not any(u == own or u.startswith(own + "/") for u in used):
                 shutil.rmtree(folder, ignore_errors=True)
 
     # indexes
@@ -208,9 +215,3 @@ class ChunkStore:
         rows = {r.repo: r.chunks for r in repo_stats(self.chunks(profile)).collect()}  # a row for each repo
         total = rows.pop(None, 0)
         return {"total": total, "repos": rows}
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    if not parts:
-        raise StoreError("nothing to put together")
-    return reduce(DataFrame.unionByName, parts)

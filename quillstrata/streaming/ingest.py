@@ -28,14 +28,14 @@ def latest(batch: DataFrame) -> DataFrame:
 def apply_changes(store: ChunkStore, batch: DataFrame, backend: Backend, profile: str = "default") -> None:
     """A batch put into the table; once more gives the same table, so a repeated batch does no harm.
 
-    Every changed file's old chunks go, and the new ones come, in one version for each repo.
+    Every changed file's old chunks go, and the new ones come, in one version.
     """
     last = latest(batch)
-    for repo in [r.repo for r in last.select("repo").distinct().collect()]:  # one name for each repo
-        own = last.where(F.col("repo") == repo)
-        new = embed_chunks(chunk_files(own.where("NOT coalesce(deleted, false)")), backend)
-        kept = store.chunks(profile, repo).join(own.select("repo", "file"), ["repo", "file"], "left_anti")
-        store.replace_repo(repo, conform(kept).unionByName(conform(new)), profile)
+    repos = [r.repo for r in last.select("repo").distinct().collect()]  # one name for each repo
+    if repos:
+        new = embed_chunks(chunk_files(last.where("NOT coalesce(deleted, false)")), backend)
+        kept = store.chunks(profile, repos).join(last.select("repo", "file"), ["repo", "file"], "left_anti")
+        store.replace(repos, conform(kept).unionByName(conform(new)), profile)
 
 
 def ingest(stream: DataFrame, store: ChunkStore, backend: Backend, checkpoint: str, profile: str = "default") -> StreamingQuery:
