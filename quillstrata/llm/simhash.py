@@ -14,7 +14,7 @@ the first pivot's distance. Components of the forests' edges are those of all li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -78,7 +78,7 @@ def _keys(fp: Column) -> Column:
     return F.array(*out)
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Positions of the ends of a spanning forest of the links among distinct fingerprints."""
     table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
@@ -90,13 +90,13 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
         while queue and len(left):
             x = queue.pop()
             near = table[left, 0]
-            lo, hi = np.searchsorted(near, table[x, 0] - DISTANCE, "left"), np.searchsorted(near, table[x, 0] + DISTANCE, "right")
+            lo, hi = np.searchsorted(near, table[x, 0] - distance, "left"), np.searchsorted(near, table[x, 0] + distance, "right")
             some = left[lo:hi]
             for j in range(1, len(PIVOTS)):
                 if len(some) < 8:
                     break
-                some = some[np.abs(table[some, j] - table[x, j]) <= DISTANCE]
-            some = some[np.bitwise_count(fps[some] ^ fps[x]) <= DISTANCE]
+                some = some[np.abs(table[some, j] - table[x, j]) <= distance]
+            some = some[np.bitwise_count(fps[some] ^ fps[x]) <= distance]
             if len(some):
                 edges += [(int(order[x]), int(order[y])) for y in some]
                 queue += some.tolist()
@@ -194,10 +194,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose doc_id is its component's; rows of null ids stay.
 
     Of rows that repeat such an id all stay: they are one document to every later step.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    kept = grouped(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["_first"], "left_semi").unionByName(docs.where("doc_id IS NULL"))

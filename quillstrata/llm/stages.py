@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm import bpe, credentials, mixing, repetition, simhash
+from quillstrata.llm import bpe, credentials, mixing, near_copies, repetition, simhash
 from quillstrata.llm.common import spread, work_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id."""
+    return simhash.first_of_each(docs, near_copies.near_copies)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
