@@ -12,7 +12,7 @@ from quillstrata.operators.bm25 import bm25, corpus_stats, phrase, postings
 from quillstrata.operators.chunking import chunk_files, dealt
 from quillstrata.operators.embedding import HashBackend, embed_column
 from quillstrata.operators.symbols import list_symbols, resolve_symbol, suggestions, symbol_search, symbol_tiers
-from quillstrata.operators.vector import build_cells, cell_search, distance, vector_search
+from quillstrata.operators.vector import build_cells, cell_search_all, distance, vector_search
 from quillstrata.plans.base import FILES, TOKENS, big, bm25_sql, files, kept, query, table, windows
 
 WHOLE = 1 << 30
@@ -108,10 +108,11 @@ def similarity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate search through a coarse index of all vectors."""
-    rows, q = _vectors(spark, sf_dir)
+    """Approximate search through a coarse index of all vectors, for each vector whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
     indexed, centres = build_cells(rows.withColumn("id", F.col("vec_id").cast("string")), rows.count())
-    return cell_search(indexed, centres, q, 30, by=("vec_id",)).select("vec_id", F.round("distance", 6).alias("distance"))
+    asked = rows.where((F.col("vec_id") % 100 == 0) & (F.size("vector") == len(centres[0]))).orderBy("vec_id").select("vec_id", "vector").collect()
+    return cell_search_all(indexed, centres, [tuple(r) for r in asked], 30).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query()
