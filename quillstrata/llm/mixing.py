@@ -9,13 +9,15 @@ position k is k times that number; a document is emitted once for each integer t
 documents of like size are neighbours, the words taken differ from the target by less than the largest document, and a
 document is emitted at most ceil(target / words) <= ``most`` times.
 
-No task holds a source: positions come from three levels (size class, hash bucket, row), each summed apart. A hot source
-is dealt out by (size class, hash bucket); the upper levels are tables of at most 64 * 16 classes and of 4,096 buckets.
+Texts are read once for narrow rows (id, source, size, hash), which are kept and dealt out by ranges of the order. The
+row's own number is the last key of that order, so neither a hot source nor a third of all rows with one id falls to one
+task. A position is the row's place in its range and the rows of its source in earlier ranges: sums over a table of one
+row for each range and one more for each further source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from quillstrata.llm.common import WORD, truncate_lineage
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 SEED = "mix-42"
+#: Rows of the table of ranges up to which it is broadcast, about 100 bytes each; a larger one is joined by shuffle.
+FEW_RANGES = 100_000
 
 
 #: Class of a size: 16 classes for each power of two, by integer arithmetic; sizes under 16 have their own.
@@ -52,52 +56,61 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("_source", "_null", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
-    """All columns of ``docs`` and size, source_size, target, copies: how often the mix takes each row.
-
-    Null or empty texts have size 0. A null source is a source of its own, last in order; a source without words has
-    target 0 and is never taken. Repeated rows are rows of their own. Columns of these four names in ``docs`` are
-    replaced. An empty table gives an empty one. Reruns agree: order and offset come from hashes.
-    """
-    mine = ("size", "source_size", "target", "copies")
-    rows = docs.drop(*mine).withColumns({
-        "size": F.coalesce(F.expr(f"size(regexp_extract_all(text, r'{WORD}', 0))"), F.lit(0)).cast("bigint"),
-        "_null": F.col("source").isNull(),
-        "_source": F.coalesce("source", F.lit("")),
-        "_hash": F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
-    }).withColumns({"_class": F.expr(SIZE_CLASS), "_bucket": F.substring("_hash", 1, 3)})
-    key = ["_null", "_source", "_class", "_bucket"]
-    # kept, so that the texts are read once for the counts and once for the rows
-    cells = truncate_lineage(rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("size").alias("_words")))
-    targets = source_targets(cells.select("_source", "_null", "_words"), weights, share, most)
-    classes = cells.groupBy("_null", "_source", "_class").agg(F.sum("_n").alias("_n"))
-    below = W.partitionBy("_null", "_source").orderBy("_class").rowsBetween(W.unboundedPreceding, -1)
-    classes = classes.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n")
-    within = W.partitionBy("_null", "_source", "_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("_within", F.coalesce(F.sum("_n").over(within), F.lit(0))).drop("_n", "_words")
-    starts = (
-        cells.join(classes, ["_null", "_source", "_class"])
-        .join(targets, ["_null", "_source"])
-        .select(*key, (F.col("_below") + F.col("_within")).alias("_start"), "source_size", "target")
-    )
-    place = F.row_number().over(W.partitionBy(*key).orderBy("_hash", "doc_id", "size"))
-    ranked = rows.withColumn("_place", place).join(starts, key)
+def n_words(text: Column) -> Column:
+    """Words of a text, 0 for null, without a list of them: each word becomes one sign, and what is between goes."""
+    signs = F.translate(F.regexp_replace(text, WORD, "w"), " \t\n\x0b\x0c\r", "")
+    return F.coalesce(F.length(signs), F.lit(0)).cast("bigint")
+
+
+def _copies(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source, size and others) with source_size, target and copies in place of source."""
+    key = ["_null", "_source"]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = rows.withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_hash": digest, "_class": F.expr(SIZE_CLASS)})
+    kept = truncate_lineage(rows.drop("source").withColumn("_row", F.monotonically_increasing_id()))
+    order = [*key, "_class", "_hash", "doc_id", "size", "_row"]
+    # ids number the rows of a partition without gaps, from its number times 2**33
+    dealt = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = truncate_lineage(dealt.drop("_class", "_hash", "_row"))
+    part = F.shiftrightunsigned(F.col("_at"), 33)
+    ranges = truncate_lineage(dealt.groupBy(*key, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.sum("size").alias("_words")))
+    before = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_words")
+    starts = starts.join(source_targets(ranges, weights, share, most), key)
+    if ranges.count() <= FEW_RANGES:
+        starts = F.broadcast(starts)
+    placed = dealt.withColumn("_part", part).join(starts, [*key, "_part"])
     # the offset: the first 12 hex digits of a hash of the seed, as a fraction
     offset = F.conv(F.substring(F.md5(F.lit(seed)), 1, 12), 16, 10).cast("double") / float(16**12)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    position = F.col("_start") + F.col("_place")
+    position = F.col("_before") + F.col("_at") - F.col("_first") + 1
     copies = F.floor(offset + rate * position) - F.floor(offset + rate * (position - 1))
-    return ranked.withColumn("copies", copies.cast("bigint")).drop(*key, "_hash", "_start", "_place")
+    return placed.withColumn("copies", copies.cast("bigint")).drop(*key, "_part", "_at", "_first", "_before")
+
 
+def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes) of every row of ``docs``; only doc_id, source and
+    text are read, so other columns may have any name.
+
+    Null, empty and blank texts have size 0. A null source is a source of its own, last in order; a source without words
+    has target 0 and is never taken. Repeated rows are rows of their own, and ties of the order go by the row's number:
+    tied rows are alike in id and size, so the result is the same. Very long texts count as any other. An empty table
+    gives an empty one. Reruns agree: order and offset come from hashes.
+    """
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return _copies(rows, weights, share, most, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
-def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``."""
-    mixed = mix(docs.select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``, whatever their names.
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    own = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))
-    taken = mix(own).where("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return taken.select("_doc.*")
+    Rows are found again by id and a hash of all their columns. Rows that are equal in all columns are kept once before
+    the texts are dealt out, and meet the copies of each of them. Nulls, ties and empty tables as in ``mix_report``.
+    """
+    alike = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    marks = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), F.xxhash64(*alike).alias("_like")]
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *marks)
+    taken = _copies(rows, weights, share, most, seed).where("copies > 0").select("_id", "_like", "copies")
+    texts = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *marks).dropDuplicates(["_id", "_like"])
+    each = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
+    return texts.join(taken, ["_id", "_like"]).select("_doc", each).select("_doc.*")
