@@ -1,16 +1,30 @@
-"""A lenient reader of HTML: a tree of block elements with their runs of text and the statistics that features need."""
+"""A lenient reader of HTML: a tree of block elements with their runs of text and the statistics that features need.
+
+Tags are read by HTML's own grammar, so a quoted attribute may hold anything and be of any length. Only scripts, styles,
+titles and text areas run to their own end tag. Controls, embedded media and drawings are left out where they are closed;
+one that is not closed ends at the next block, as the rest of the page is then inside it only by mistake. Depth, width and
+length have no bounds, and each page is read in linear time.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from itertools import count
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is never text of the page.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button head title datalist".split())
+#: Markup inside these is text, up to the end tag or the end of the page; it is never text of the page.
+RAW = frozenset("script style textarea title".split())
+#: Their content is not text of the page, where they are closed.
+SKIPPED = frozenset("noscript template iframe object svg canvas audio video select button datalist annotation annotation-xml".split())
+CONTROLS = frozenset("select button input textarea".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input area br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input area br "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split()
 )
+#: The frame of a page: their tags make no node, wherever they stand or if they are left out.
+FRAME = frozenset("html head body".split())
 #: Opening one of these ends an open paragraph.
 _ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -22,12 +36,17 @@ _ENDS = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 
+#: A comment, a tag or a bogus comment. Groups: the slash of an end tag, its name, its attributes.
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )
-_ATTRS = re.compile(r"(?:^|[\s\"'])(id|class|role|itemprop|style|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
+_NAMED = frozenset("id class role itemprop aria-label".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 class Node:
@@ -49,19 +68,75 @@ def _attributes(source: str) -> tuple[frozenset[str], bool]:
         return frozenset(), False
     words: list[str] = []
     hidden = False
-    for m in _ATTRS.finditer(source):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "style":
+    for name, *values in _ATTRIBUTE.findall(source):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name in _NAMED:
+            words += _WORD.findall(value)
+        elif name == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
         elif name == "hidden":
             hidden = True
         elif name == "aria-hidden":
             hidden |= value.lower() == "true"
-        else:
-            words += _WORD.findall(value)
     return frozenset(w.lower() for w in words), hidden
 
 
+#: start and end in the page, whether it is an end tag, lower-case name ('' for a comment), attributes.
+Tag = tuple[int, int, bool, str, str]
+
+
+def tags_of(html: str) -> list[Tag]:
+    """Tags in page order; a raw element is one tag with its content. White space stands where one was."""
+    found: list[Tag] = []
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag and not html.endswith(">", m.start(), at):
+            tag = ""  # the page ends inside of a tag
+        if tag in RAW and not m[1]:
+            close = _RAW_END[tag].search(html, at)
+            at = close.end() if close else len(html)
+        found.append((m.start(), at, bool(m[1]), tag, m[3] or ""))
+    return found
+
+
+def closed_by(tags: list[Tag]) -> dict[int, int]:
+    """For each start tag of a SKIPPED element that has its own end tag, the place of that tag.
+
+    An element ends unclosed with the end of an outer one, a button at the next button, a drawing at a block.
+    """
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    found: dict[int, int] = {}
+
+    def pop(tag: str) -> int:
+        while True:
+            name, place = stack.pop()
+            opened[name] -= 1
+            if name == tag:
+                return place
+
+    for k, (_, _, ending, tag, source) in enumerate(tags):
+        if not tag or tag in FRAME or tag in VOID or tag in INLINE:
+            continue
+        if ending:
+            if opened[tag]:
+                place = pop(tag)
+                if tag in SKIPPED:
+                    found[place] = k
+            continue
+        if tag in ("button", "select") and opened[tag]:
+            pop(tag)
+        if opened["svg"] and (tag in _ENDS_P or tag in _ENDS):
+            pop("svg")
+        if tag in RAW or (tag in SKIPPED and source.endswith("/")):
+            continue
+        stack.append((tag, k))
+        opened[tag] += 1
+    return found
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block nodes in document order (the first is the root), and runs of text in page order with the node they are of.
 
@@ -70,15 +145,17 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     root = Node("html", None)
     nodes, runs = [root], []
     stack: list[tuple[str, Node]] = [("html", root)]  # inline elements stand with the block that they are in
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    links = in_link = 0
-    at, end = 0, len(html)
+    links = 0
+    muted = False  # within a skipped element that is not closed, up to the next block
+    tags = tags_of(html)
+    closed = closed_by(tags)
 
     def flush() -> None:
-        nonlocal text, links
+        nonlocal text, links, muted
         if text:
-            joined = "".join(text)
-            value = " ".join((unescape(joined) if "&" in joined else joined).split())
+            value = " ".join("".join(text).split())
             if value:
                 node = stack[-1][1]
                 node.runs.append(len(runs))
@@ -87,103 +164,113 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 node.links += min(links, len(value))
                 node.stops += sum(map(value.count, ".,;:!?"))
             text = []
-        links = 0
+        links, muted = 0, False
 
-    while at < end:
-        m = _TOKEN.search(html, at)
-        start = m.start() if m else end
-        if start > at:
-            part = html[at:start]
+    def cut(k: int) -> None:
+        """Leave all elements from place ``k`` of the stack on."""
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
+    def add(part: str) -> None:
+        nonlocal links
+        if part and not muted:
+            part = unescape(part) if "&" in part else part
             text.append(part)
-            if in_link:
+            if opened["a"]:
                 links += len(part.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    at = skip = 0
+    for k, (start, end, ending, tag, source) in zip(count(), tags):
+        if k < skip:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        add(html[at:start])
+        at = end
+        if not tag:
+            continue
+        block = stack[-1][1]
+        if ending:
             if tag in INLINE:
                 if tag == "br":
-                    text.append(" ")
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] not in INLINE:
+                    add(" ")
+                if opened[tag]:
+                    for j in range(len(stack) - 1, 0, -1):
+                        if stack[j][0] not in INLINE:
+                            break
+                        if stack[j][0] == tag:
+                            del stack[j]
+                            opened[tag] -= 1
+                            break
+                continue
+            if tag in SKIPPED:
+                continue
+            if opened[tag]:
+                for j in range(len(stack) - 1, 0, -1):
+                    if stack[j][0] == tag:
+                        flush()
+                        cut(j)
                         break
-                    if stack[k][0] == tag:
-                        del stack[k]
-                        in_link -= tag == "a"
+                    if stack[j][0] == "table" and tag not in ("div", "article", "section", "main"):
                         break
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    in_link -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] == "table" and tag != "table" and tag not in ("div", "article", "section", "main", "body", "html"):
-                    break
-            else:
-                if tag not in ("html", "body"):
-                    flush()
+            elif tag not in FRAME:
+                flush()
             continue
-        if tag in RAW:
-            if tag in ("select", "textarea", "button"):
-                stack[-1][1].controls += 1
-            if m[3].endswith("/"):
-                continue
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = close.end() if close else end
-            text.append(" ")
+        if tag in RAW or tag in SKIPPED:
+            block.controls += tag in CONTROLS
+            add(" ")
+            if k in closed:
+                skip = closed[k] + 1
+                at = tags[closed[k]][1]
+            elif tag in SKIPPED and not source.endswith("/"):
+                muted = True
             continue
-        block = stack[-1][1]
         if tag in INLINE:
             block.tags += 1
             if tag == "br":
-                text.append(" ")
+                add(" ")
             elif tag == "input":
                 block.controls += 1
             elif tag not in VOID:
-                if tag == "a" and any(t == "a" for t, _ in stack[-4:]):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "a":
-                            del stack[k]
-                            in_link -= 1
+                if tag == "a" and opened["a"]:
+                    for j in range(len(stack) - 1, 0, -1):
+                        if stack[j][0] == "a":
+                            del stack[j]
+                            opened["a"] -= 1
+                            break
+                        if stack[j][0] not in INLINE:
                             break
                 stack.append((tag, block))
-                in_link += tag == "a"
+                opened[tag] += 1
             continue
         flush()
-        if tag in VOID or tag in ("html", "body"):
+        if tag in VOID or tag in FRAME:
             continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t == "p":
-                    in_link -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
+        if tag in _ENDS_P and opened["p"]:
+            for j in range(len(stack) - 1, 0, -1):
+                if stack[j][0] == "p":
+                    cut(j)
                     break
-                if t not in INLINE:
+                if stack[j][0] not in INLINE:
                     break
         if tag in _ENDS:
             ended, limits = _ENDS[tag]
             lowest = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in limits:
-                    break
-                if stack[k][0] in ended:
-                    lowest = k
+            if any(opened[t] for t in ended):
+                for j in range(len(stack) - 1, 0, -1):
+                    if stack[j][0] in limits:
+                        break
+                    if stack[j][0] in ended:
+                        lowest = j
             if lowest is not None:
-                in_link -= sum(x == "a" for x, _ in stack[lowest:])
-                del stack[lowest:]
+                cut(lowest)
         parent = stack[-1][1]
-        tokens, hidden = _attributes(m[3])
-        node = Node(tag, parent, tokens, hidden)
-        if len(stack) < 400:  # deeper ones are siblings
-            stack.append((tag, node))
-            parent.children.append(node)
-            nodes.append(node)
+        node = Node(tag, parent, *_attributes(source))
+        stack.append((tag, node))
+        opened[tag] += 1
+        parent.children.append(node)
+        nodes.append(node)
         parent.tags += 1
+    add(html[at:])
     flush()
     for node in reversed(nodes):
         node.chars += node.own

@@ -13,6 +13,7 @@ The trees are fitted on made-up pages (``layouts``), in a few seconds, once for
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from math import log1p
@@ -52,10 +53,13 @@ _ABOVE = {"article": 0, "main": 1, "nav": 2, "aside": 3, "footer": 4, "header":
 class Unit:
     """A node with text, or (``node.tag`` aside) the text that stands directly in a node which also has such children."""
 
-    __slots__ = ("node", "up", "below", "runs", "chars", "links", "tags", "stops", "paras", "controls", "blocks", "text", "first", "whole", "any")
+    __slots__ = ("node", "up", "below", "runs", "chars", "links", "tags", "stops", "paras", "controls", "blocks", "text", "first", "place", "alike", "chain")
 
     def __init__(self, node: Node, up: int, text: bool):
         self.node, self.up, self.text, self.below = node, up, text, []
+        self.place = 0
+        self.chain: list[Node] = []  # the node and outer ones that hold the same text
+        self.alike: Counter[str] = Counter()  # children by tag
         self.runs = node.runs
         if text:
             self.chars, self.links, self.tags, self.stops, self.paras, self.controls, self.blocks = node.own, 0, 0, 0, 0, 0, len(node.runs)
@@ -64,23 +68,35 @@ class Unit:
 
 
 def units_of(root: Node) -> list[Unit]:
-    """Units in document order, parents first. ``below`` and ``up`` are positions in the list; a leaf owns its runs."""
+    """Units in document order, parents first. ``below`` and ``up`` are positions in the list; a leaf owns its runs.
+
+    Nested nodes that hold the same text are one unit, that of the innermost: they would vote on one question many times.
+    """
     found: list[Unit] = []
     stack = [(root, -1)]
     while stack:
         node, up = stack.pop()
         at = len(found)
+        chain = [node]
+        inside = [c for c in node.children if c.chars]
+        while len(inside) == 1 and not node.runs:
+            node = inside[0]
+            chain.append(node)
+            inside = [c for c in node.children if c.chars]
         unit = Unit(node, up, False)
+        unit.chain = chain
         found.append(unit)
         if up >= 0:
+            unit.place = len(found[up].below)
             found[up].below.append(at)
-        inside = [c for c in node.children if c.chars]
+            found[up].alike[node.tag] += 1
         if inside:
             unit.runs = []
             if node.runs:
                 found.append(own := Unit(node, at, True))
-                own.runs = node.runs
+                own.runs, own.chain = node.runs, [node]
                 unit.below.append(at + 1)
+                unit.alike[node.tag] += 1
             stack += [(c, at) for c in reversed(inside)]
     return found
 
@@ -89,36 +105,36 @@ def features(units: list[Unit], n_runs: int) -> list[list[float]]:
     total = units[0].chars or 1
     groups: dict[int, tuple[int, ...]] = {}  # attribute words of the node, and of it and its ancestors, as bit sets
     rows = []
+    firsts = [0] * len(units)  # the first run below each unit that has none of its own
+    for at in range(len(units) - 1, -1, -1):
+        own_runs = units[at].node.runs
+        firsts[at] = own_runs[0] if own_runs else firsts[units[at].below[0]] if units[at].below else 0
     for at, u in enumerate(units):
         node = u.node
         above = groups[u.up] if u.up >= 0 else (0, 0, 0)
-        own = 0
-        for word in node.tokens:
-            if (g := _GROUP.get(word)) is not None:
-                own |= 1 << g
-        over = above[2] | (1 << _ABOVE[node.tag] if node.tag in _ABOVE else 0)
+        own, over = 0, above[2]
+        tag = [0.0] * (len(_TAGS) + 1)
+        for n in u.chain:
+            for word in n.tokens:
+                if (g := _GROUP.get(word)) is not None:
+                    own |= 1 << g
+            over |= 1 << _ABOVE[n.tag] if n.tag in _ABOVE else 0
+            tag[_TAG.get(n.tag, len(_TAGS))] = 1.0
         groups[at] = own, above[1] | own, over
         first = node.runs[0] if node.runs else -1
-        k = u
-        while first < 0:  # the first run below
-            k = units[k.below[0]]
-            first = k.node.runs[0] if k.node.runs else -1
-        u.first = first
+        u.first = first if first >= 0 else firsts[at]
         c = u.chars or 1
         if u.up >= 0:
             p = units[u.up]
             pc, beside, links_up = p.chars or 1, len(p.below), p.links / (p.chars or 1)
             rest = p.chars - u.chars
-            place = p.below.index(at) if beside < 64 else 32
-            same = sum(units[x].node.tag == node.tag for x in p.below[:64])
+            place, same = u.place, p.alike[node.tag]
         else:
             pc, beside, links_up, rest, place, same = c, 1, u.links / c, 0, 0, 1
-        tag = [0.0] * (len(_TAGS) + 1)
-        tag[_TAG.get(node.tag, len(_TAGS))] = 1.0
         rows.append([
             log1p(c), c / total, u.links / c, 100 * u.tags / c, 100 * u.stops / c, log1p(u.paras), log1p(u.blocks), c / (u.blocks or 1), 100 * u.controls / c, float(u.controls),
             c / pc, float(beside), place / beside, log1p(rest / max(1, beside - 1)) - log1p(c), float(same), same / beside, links_up, log1p(pc),
-            float(min(node.depth, 12)), first / (n_runs or 1), (n_runs - first) / (n_runs or 1), float(u.text), float(node.hidden), float(len(u.below)),
+            float(min(node.depth, 12)), u.first / (n_runs or 1), (n_runs - u.first) / (n_runs or 1), float(u.text), float(any(n.hidden for n in u.chain)), float(len(u.below)),
             *tag,
             *(float(own >> g & 1) for g in range(len(TOKENS))),
             *(float(above[1] >> g & 1) for g in range(len(TOKENS))),
@@ -127,43 +143,55 @@ def features(units: list[Unit], n_runs: int) -> list[list[float]]:
     return rows
 
 
+WHOLE, NONE, MIXED = 0, 1, 2
+
+
+def mixture(costs: list[list[float]]) -> tuple[float, list[int]]:
+    """The least cost of children that are neither all whole nor all none, and their states.
+
+    Either some child is mixed, and the others are what suits them best; or all are whole or none, with one of each.
+    """
+    best = [min(range(3), key=c.__getitem__) for c in costs]
+    k = min(range(len(costs)), key=lambda i: costs[i][MIXED] - costs[i][best[i]])
+    with_mixed = [*best[:k], MIXED, *best[k + 1 :]]
+    plain = [WHOLE if c[WHOLE] <= c[NONE] else NONE for c in costs]
+    if len(set(plain)) == 1:  # the one that is changed most cheaply
+        k = min(range(len(costs)), key=lambda i: costs[i][1 - plain[i]] - costs[i][plain[i]])
+        plain[k] = 1 - plain[k]
+
+    def total(states: list[int]) -> float:
+        return sum(c[s] for c, s in zip(costs, states, strict=True))
+
+    if len(costs) == 1 or total(with_mixed) <= total(plain):
+        return total(with_mixed), with_mixed
+    return total(plain), plain
+
+
 def decode(units: list[Unit], whole: np.ndarray, some: np.ndarray) -> list[int]:
     """Runs that are kept, ascending, under the most likely consistent states. whole, some: margins of the two models."""
     cost = np.stack([np.logaddexp(0, -whole) + np.logaddexp(0, -some), np.logaddexp(0, whole) + np.logaddexp(0, some), np.logaddexp(0, whole) + np.logaddexp(0, -some)], axis=1)
-    best = cost.tolist()  # whole, none, mixed
-    for u, row in zip(reversed(units), reversed(best), strict=True):
-        if not u.below:
-            row[2] = np.inf
+    best = cost.tolist()  # by WHOLE, NONE, MIXED, of the unit and all below
+    states: dict[int, list[int]] = {}  # of the children of a mixed unit
+    for at in range(len(units) - 1, -1, -1):
+        row, below = best[at], [best[x] for x in units[at].below]
+        if not below:
+            row[MIXED] = np.inf
             continue
-        least = [min(best[x]) for x in u.below]
-        mixed = sum(least)
-        # mixed needs a child that is not none and one that is not whole
-        mixed += max(0.0, min(min(best[x][0], best[x][2]) - m for x, m in zip(u.below, least, strict=True)))
-        mixed += max(0.0, min(min(best[x][1], best[x][2]) - m for x, m in zip(u.below, least, strict=True)))
-        row[0] += sum(best[x][0] for x in u.below)
-        row[1] += sum(best[x][1] for x in u.below)
-        row[2] += mixed
+        mixed, states[at] = mixture(below)
+        row[WHOLE] += sum(c[WHOLE] for c in below)
+        row[NONE] += sum(c[NONE] for c in below)
+        row[MIXED] += mixed
     kept: list[int] = []
-    stack = [(0, int(np.argmin(best[0])))]
+    stack = [(0, min(range(3), key=best[0].__getitem__))]
     while stack:
         at, state = stack.pop()
         u = units[at]
-        if state == 0 and not u.below:
+        if state == WHOLE and not u.below:
             kept += u.runs
-        if state == 1 or not u.below:
-            continue
-        if state == 0:
-            stack += [(x, 0) for x in u.below]
-            continue
-        chosen = [int(np.argmin(best[x])) for x in u.below]
-        if all(s == 1 for s in chosen):
-            k = min(range(len(chosen)), key=lambda i: min(best[u.below[i]][0], best[u.below[i]][2]) - best[u.below[i]][1])
-            chosen[k] = 0 if best[u.below[k]][0] <= best[u.below[k]][2] else 2
-        if all(s == 0 for s in chosen):
-            k = min(range(len(chosen)), key=lambda i: min(best[u.below[i]][1], best[u.below[i]][2]) - best[u.below[i]][0])
-            if len(chosen) > 1 or best[u.below[k]][2] < np.inf:
-                chosen[k] = 1 if best[u.below[k]][1] <= best[u.below[k]][2] else 2
-        stack += list(zip(u.below, chosen, strict=True))
+        elif state == WHOLE:
+            stack += [(x, WHOLE) for x in u.below]
+        elif state == MIXED:
+            stack += zip(u.below, states[at], strict=True)
     return sorted(kept)
 
 
@@ -231,7 +259,11 @@ def main_text(html: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row; only page_id, url and html are read. Repeated rows give repeated
-    results, null ids and urls stay null, an empty table gives an empty one."""
+    """page_id, url, text, n_chars for each row; only page_id, url and html are read, so other columns may have any name.
+
+    Null and empty pages, and pages without an article, give '' and 0. Repeated rows give repeated results, null ids and
+    urls stay null, an empty table gives an empty one. Pages of any length, depth and width are read in whole; of equally
+    likely labellings of a page the one with more whole nodes is taken, so reruns agree.
+    """
     done = pages.select("page_id", "url", main_text(F.col("html")).alias("text"))
     return done.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -139,6 +139,8 @@ class _Maker:
                 at = r.randrange(len(cut))
                 cut[at] = f"<{r.choice(['em', 'strong', 'a href=/y', 'i'])}>{cut[at]}</a></em></strong></i>"
                 text = " ".join(cut)
+            if r.random() < 0.08:  # controls and media that are left out, closed or not
+                text += r.choice([f" <button>{self.words(1, 2)}</button>", f" <button>{self.words(1, 2)}", "<svg><path d='M0'/></svg>", f"<select><option>{self.words(1, 1)}</select>", "<input type=text>"])
             return f"<p>{text}" + ("</p>" if r.random() < 0.85 else "")
         if kind < 0.82:
             level = r.randint(2, 4)
