@@ -127,24 +127,23 @@ def fit(samples: Iterable[tuple[str, str]], cost: float = 10.0) -> Model:
     return Model(langs, families, pairs, np.ascontiguousarray(w[:-1], np.float32), w[-1])
 
 
-def sample(docs: DataFrame, per_lang: int = 300, max_chars: int = 4000, langs: int = 64) -> list[tuple[str, str]]:
-    """At most ``per_lang`` training texts for each of at most ``langs`` languages (the most frequent ones).
+def sample(docs: DataFrame, per_lang: int = 300, min_chars: int = 40, max_chars: int = 4000) -> list[tuple[str, str]]:
+    """At most ``per_lang`` training texts for each language, in the order of a hash of the id: that bounds what the driver
+    holds, a few texts for each distinct value of ``lang``. Texts of ``min_chars`` to ``max_chars`` characters are taken
+    first, shorter and longer ones only where a language has too few of these, so every language is learnt.
 
-    This bounds what the driver holds: texts of up to ``max_chars`` characters are taken, in the order of a hash of the
-    id. Rows of a null language or text and those of fold 2 of 4 are never taken. ``docs``: doc_id, text, lang.
+    Rows of a null language or text and those of fold 2 of 4 are never taken. ``docs``: doc_id, text, lang.
     """
     learn = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    seen = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
-    if not seen:
-        return []
-    # about four times as many as needed by hash, so that few rows are sorted; all rows of a rare language
-    order = F.xxhash64(F.col("doc_id"), F.lit("langid"))
-    share = F.create_map(*(x for r in seen for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * per_lang / r["count"])))))
-    near = (F.pmod(order, F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")]
-    some = learn.where(near & (F.length("text") <= max_chars) & (F.length("text") >= 40)).select("lang", "text", order.alias("o"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("o", "text"))
-    rows = some.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "o", "text").collect()
-    return [(r.text, r.lang) for r in sorted(rows)]
+    odd = ~F.length("text").between(min_chars, max_chars)
+    rows = learn.select("lang", "text", odd.alias("odd"), F.xxhash64(F.col("doc_id"), F.lit("langid")).alias("o"))
+    # about four times as many as needed by hash, so that few rows are sorted; all rows of a rare language or length
+    seen = rows.groupBy("lang", "odd").count()
+    near = F.pmod("o", F.lit(1 << 20)) * F.col("count") < F.lit(4.0 * per_lang * (1 << 20))
+    some = rows.join(F.broadcast(seen), ["lang", "odd"]).where(near)  # two rows for each language
+    place = F.row_number().over(W.partitionBy("lang").orderBy("odd", "o", "text"))
+    found = some.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "o", "text").collect()
+    return [(r.text, r.lang) for r in sorted(found)]
 
 
 def predicted(text: Column, model: Model) -> Column:
@@ -159,8 +158,9 @@ def predicted(text: Column, model: Model) -> Column:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row; only doc_id (for the fold) and text are read. An empty table
-    gives an empty one, repeated rows repeated results; a null id is not held out."""
+    """doc_id, held_out, lang_pred, score for each row; only doc_id (for the fold) and text are read, so other columns may
+    have any name. Null and empty texts are ``und`` with score 0. An empty table gives an empty one, repeated rows repeated
+    results; a null id is not held out. Very long texts are read in whole; of tied languages the first by name is taken."""
     done = docs.select("doc_id", predicted(F.col("text"), model).alias("_lang"))
     held = fold(F.col("doc_id"), 4) == 2
     return done.select("doc_id", held.alias("held_out"), F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
