@@ -5,8 +5,9 @@ vectors, each lane modulo a power of two. The sum does not depend on the order o
 or deleted by adding or subtracting its vector. A vector has two parts:
 
 * EXACT lanes modulo 2**64, filled from a keyed hash of the whole paragraph: equality of multisets of paragraphs;
-* SKETCH lanes modulo 2**16, in which each shingle of three words of the paragraph adds +1 or -1 to one lane: for two
-  fingerprints the inner product of these lanes estimates what the documents share, so likeness needs no text.
+* SKETCH lanes modulo 2**32, in which each shingle of three words of the paragraph adds +1 or -1 to one lane: for two
+  fingerprints the inner product of these lanes estimates what the documents share, so likeness needs no text. A text of
+  Spark is shorter than 2**31 bytes and has fewer than 2**30 shingles, so no lane of a document wraps.
 
 Texts without a word have the zero fingerprint.
 """
@@ -14,15 +15,16 @@ Texts without a word have the zero fingerprint.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import words_of
+from quillstrata.llm.common import truncate_lineage, words_of
 
 EXACT, SKETCH, SHINGLE = 4, 256, 3
 
@@ -45,7 +47,7 @@ class Fingerprint:
 
     def __init__(self) -> None:
         self.exact = np.zeros(EXACT, np.uint64)
-        self.sketch = np.zeros(SKETCH, np.uint16)
+        self.sketch = np.zeros(SKETCH, np.uint32)
 
     def _vectors(self, paragraphs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         exact, hashes = np.zeros(EXACT, np.uint64), []
@@ -63,7 +65,7 @@ class Fingerprint:
     def _lanes(hashes: list[int]) -> np.ndarray:
         h = np.array(hashes, np.uint64)
         signed = np.bincount((h % np.uint64(2 * SKETCH)).astype(np.int64), minlength=2 * SKETCH)
-        return (signed[:SKETCH] - signed[SKETCH:]).astype(np.uint16)
+        return (signed[:SKETCH] - signed[SKETCH:]).astype(np.uint32)
 
     def insert(self, paragraphs: list[str]) -> Fingerprint:
         for exact, sketch in self._vectors(paragraphs):
@@ -81,22 +83,22 @@ class Fingerprint:
         return other
 
     def hex(self) -> str:
-        return self.exact.astype(">u8").tobytes().hex() + self.sketch.astype(">u2").tobytes().hex()
+        return self.exact.astype(">u8").tobytes().hex() + self.sketch.astype(">u4").tobytes().hex()
 
     @classmethod
     def from_hex(cls, value: str) -> Fingerprint:
         data, own = bytes.fromhex(value), cls()
         own.exact = np.frombuffer(data[: 8 * EXACT], ">u8").astype(np.uint64)
-        own.sketch = np.frombuffer(data[8 * EXACT :], ">u2").astype(np.uint16)
+        own.sketch = np.frombuffer(data[8 * EXACT :], ">u4").astype(np.uint32)
         return own
 
     def likeness(self, other: Fingerprint) -> float:
         """0 to 1: twice the estimated shared part over both sizes; 1 if and only if the fingerprints are equal."""
         if (self.exact == other.exact).all() and (self.sketch == other.sketch).all():
             return 1.0
-        a, b = self.sketch.view(np.int16).astype(np.int64), other.sketch.view(np.int16).astype(np.int64)
-        both = int(a @ a + b @ b)
-        return min(max(2.0 * int(a @ b) / both, 0.0), 0.9999) if both else 0.0
+        a, b = self.sketch.view(np.int32).astype(np.float64), other.sketch.view(np.int32).astype(np.float64)
+        both = float(a @ a + b @ b)
+        return min(max(2.0 * float(a @ b) / both, 0.0), 0.9999) if both else 0.0
 
 
 def fingerprint(text: str | None) -> Fingerprint:
@@ -127,49 +129,81 @@ FIELDS = {
 }
 
 
-def in_runs(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (doc_id, text, _bucket, _guard) such that a bucket holds a run of ids, and as a guard the row after them.
+#: Bytes of text that a run of ids should hold, and how finely ids are cut before runs of that size are put together.
+RUN_BYTES, FINE = 64 << 20, 4
+_LEAST = -(1 << 63)
 
-    Only the smallest id of each bucket comes to the driver. Bucket bounds are approximate quantiles of the ids: they
-    decide how even the buckets are, and not what is found.
+
+def _number(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending bounds are at most the row's (_id, _h), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*(F.struct(F.lit(i).cast("bigint"), F.lit(h).cast("bigint")) for i, h in bounds))
+    own = F.struct(F.col("_id"), F.col("_h"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+
+    def step(at: Column, size: Column) -> Column:
+        return F.when((at + size <= len(bounds)) & (F.element_at(listed, F.least(at + size, F.lit(len(bounds)))) <= own), at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def run_bounds(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Ascending (_id, _h) at which runs begin, so that runs hold about as many bytes each: at least ``parts`` runs, more
+    where these would hold over RUN_BYTES. A hot id is cut by the hash of its texts.
+
+    They decide how even the runs are, and not what is found. The driver holds some numbers for each run.
     """
-    cuts = docs.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-    cuts = sorted({int(c) for c in cuts})
-    bucket = F.lit(0)
-    if cuts:
-        bounds, steps = F.array(*(F.lit(c) for c in cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
-        below = F.aggregate(
-            F.array(*(F.lit(k) for k in steps)),
-            F.lit(0),
-            lambda at, step: F.when((at + step <= len(cuts)) & (F.element_at(bounds, F.least(at + step, F.lit(len(cuts)))) <= F.col("doc_id")), at + step).otherwise(at),
-        )
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(below)
-    placed = docs.withColumn("_bucket", bucket)
-    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id")))
-    firsts = placed.groupBy("_bucket").agg(least.alias("first")).select("_bucket", "first.doc_id").orderBy("_bucket").collect()
-    first: list[int | None] = [None] * (len(cuts) + 1)
-    before = [0] * (len(cuts) + 1)
-    for k, row in enumerate(firsts):
-        first[row._bucket], before[row._bucket] = row.doc_id, firsts[k - 1]._bucket
-    at = F.col("_bucket") + 1
-    is_first = F.col("doc_id").eqNullSafe(F.element_at(F.array(*(F.lit(x).cast("bigint") for x in first)), at))
-    own = F.struct(F.col("_bucket").alias("to"), F.lit(False).alias("guard"))
-    guard = F.struct(F.element_at(F.array(*map(F.lit, before)), at).alias("to"), F.lit(True).alias("guard"))
+    total = rows.agg(F.sum("_bytes")).head()[0] or 0
+    runs = max(parts, -(-total // RUN_BYTES))
+    fine = FINE * runs
+    found = sorted(int(c) for c in rows.stat.approxQuantile("_id", [i / fine for i in range(1, fine)], 0.25 / fine))
+    bounds: list[tuple[int, int]] = []
+    for c in sorted(set(found)):
+        times = bisect_right(found, c) - bisect_left(found, c)
+        bounds += [(c, _LEAST + (k << 64) // times) for k in range(times)]
+    held = {r["_n"]: r["_b"] for r in rows.groupBy(_number(bounds).alias("_n")).agg(F.sum("_bytes").alias("_b")).collect()}
+    kept, size = [], held.get(0, 0)
+    for k, bound in enumerate(bounds, 1):
+        if size + held.get(k, 0) > total / runs and size:
+            kept.append(bound)
+            size = 0
+        size += held.get(k, 0)
+    return kept
+
+
+def in_runs(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text, _h, _run, _guard) and the number of runs: a run holds rows that follow one another in the order
+    of (doc_id, _h, text), null ids first, and as a guard the row after them, which the next run has as well."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)), "_h": F.xxhash64("text")})
+    narrow = truncate_lineage(rows.select("_id", "_h", F.octet_length("text").cast("bigint").alias("_bytes")))
+    bounds = run_bounds(narrow, parts)
+    number = _number(bounds)
+    firsts = narrow.groupBy(number.alias("_run")).agg(F.min(F.struct("_id", "_h")).alias("at")).orderBy("_run").collect()  # a row for each run
+    placed = rows.withColumn("_run", number)
+    guarded: list[Column] = [F.lit(None)] * (len(bounds) + 1)
+    for k, r in enumerate(firsts):
+        guarded[r["_run"]] = F.struct(F.lit(r["at"]._id).alias("_id"), F.lit(r["at"]._h).alias("_h"), F.lit(firsts[k - 1]["_run"]).alias("to"))
+    start = F.element_at(F.array(*guarded).cast("array<struct<_id:bigint,_h:bigint,to:int>>"), F.col("_run") + 1)
+    own = F.struct(F.col("_run").alias("to"), F.lit(False).alias("guard"))
+    guard = F.struct(start["to"].alias("to"), F.lit(True).alias("guard"))
+    is_first = (F.col("_id") == start["_id"]) & (F.col("_h") == start["_h"])
     dealt = placed.withColumn("_to", F.explode(F.when(is_first, F.array(own, guard)).otherwise(F.array(own))))
-    return dealt.select("doc_id", "text", F.col("_to.to").alias("_bucket"), F.col("_to.guard").alias("_guard"))
+    return dealt.select("doc_id", "text", "_h", F.col("_to.to").alias("_run"), F.col("_to.guard").alias("_guard")), len(bounds) + 1
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """The columns of FIELDS for each row. The next document is the next one in the order of (doc_id, text), null ids
-    first; after the last comes the first, so a single row is its own next.
+    """The columns of FIELDS for each row. The next document is the next one in the order of doc_id, null ids first; ties
+    go by a hash of the text, then by the text; after the last comes the first, so a single row is its own next.
 
-    Null texts are empty. Other columns are not read. Texts cross the network once, dealt out by runs of ids, and are
-    streamed in order within a run.
+    Null texts are empty. Other columns are not read, so they may have any name. Repeated rows follow one another, each
+    with its own result. An empty table gives an empty one. Texts of any length are read in whole; they cross the network
+    once, dealt out by runs of ids, and are streamed in order within a run.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = in_runs(rows, buckets).repartition(buckets, "_bucket")
-    in_order = dealt.sortWithinPartitions("_bucket", "_guard", F.col("doc_id").asc_nulls_first(), "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, runs = in_runs(docs, parts)
+    in_order = dealt.repartitionById(runs, F.col("_run")).sortWithinPartitions("_run", "_guard", F.col("doc_id").asc_nulls_first(), "_h", "text")
     return in_order.mapInArrow(_follow, ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
 
 

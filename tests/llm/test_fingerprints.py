@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -125,6 +126,42 @@ def test_multiset_algebra():
     assert again.hex() == whole.hex() and again.likeness(whole) == 1.0
 
 
+def brute_multiset(text: str | None) -> str:
+    """The sums of all paragraphs' vectors, one whole number for each lane."""
+    exact, sketch = [0] * 4, [0] * 256
+    for line in (text or "").split("\n"):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", line.encode())
+        if not words:
+            continue
+        digest = hashlib.blake2b(b" ".join(words), digest_size=32, person=b"paragraph").digest()
+        exact = [e + int.from_bytes(digest[8 * i : 8 * i + 8], "little") for i, e in enumerate(exact)]
+        for i in range(max(1, len(words) - 2)):
+            h = xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 3])) % 512
+            sketch[h % 256] += 1 if h < 256 else -1
+    return "".join(f"{e % 2**64:016x}" for e in exact) + "".join(f"{x % 2**32:08x}" for x in sketch)
+
+
+def test_fingerprint_against_sums(odd_texts):
+    for text in [*odd_texts, "a b c d\n\na b c d\nx", "the " * 65_538]:
+        assert multiset_hash.fingerprint(text).hex() == brute_multiset(text)
+
+
+def test_lanes_do_not_wrap():
+    many, fewer = (multiset_hash.fingerprint("the " * n) for n in (33_000, 20_000))
+    assert any(multiset_hash.fingerprint("the " * 65_538).sketch)
+    assert many.likeness(fewer) > 0.85
+
+
+def test_hot_ids_are_cut(spark):
+    texts = [f"text number {k} " * (k % 7) for k in range(300)]
+    docs = spark.createDataFrame([(None if k % 3 == 0 else k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    dealt, runs = multiset_hash.in_runs(docs, 16)
+    sizes = [r["count"] for r in dealt.groupBy("_run").count().collect()]
+    assert runs >= 8 and max(sizes) < 60
+    rows = multiset_hash.compare_with_next(docs).collect()
+    assert sorted(r.n_chars for r in rows) == sorted(map(len, texts))
+
+
 def test_compare_with_next(spark, table, odd_texts):
     texts = [*odd_texts, "x y z\n" * 40, "final"]
     ids = [100 - 3 * i for i in range(len(texts))]
@@ -136,7 +173,7 @@ def test_compare_with_next(spark, table, odd_texts):
         t, following = t or "", following or ""
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
         r = rows[d]
-        a, b, c = (multiset_hash.fingerprint(x) for x in (t, edited, following))
+        a, b, c = (multiset_hash.Fingerprint.from_hex(brute_multiset(x)) for x in (t, edited, following))
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (a.hex(), b.hex())
         assert abs(r.near_edited - a.likeness(b)) < 1e-12 and abs(r.near_next - a.likeness(c)) < 1e-12
