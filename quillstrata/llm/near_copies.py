@@ -158,11 +158,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id for each row, as ``simhash.near_duplicates`` has them, over links of similarity 0.8."""
+    """doc_id, _h (hash of the text) and root (the class) for each row, over links of similarity 0.8; only doc_id and text
+    are read, null texts count as empty, repeated rows give repeated results, an empty table gives an empty one."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    text_hash = simhash.text_hash(F.col("text"))
     marked = truncate_lineage(spread(docs.select("doc_id", "text")).select("doc_id", text_hash.alias("_h"), sketch(F.col("text")).alias("k")))
-    nodes = marked.groupBy(F.col("k.node").alias("node")).agg(F.min("doc_id").alias("first"), F.min("_h").alias("_h"))
+    nodes = marked.groupBy(F.col("k.node").alias("node")).agg(F.min("_h").alias("_h"))
     nodes = truncate_lineage(nodes)
     keyed = marked.select("k.node", "k.fp", "k.n", "k.bands").dropDuplicates(["node"]).select("node", "fp", "n", F.explode("bands").alias("key"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key").select("key", "node", "fp", "n")
@@ -172,8 +173,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = docs.select(text_hash.alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(asked.select("_h"), "_h", "left_semi").dropDuplicates(["_h"]).join(asked, "_h").select("root", "node", "text")
     found = texts.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(_verified, "node bigint, least bigint")
-    named = nodes.join(found, "node", "left").select("node", "first", F.coalesce("least", "node").alias("root"))
-    named = truncate_lineage(named)
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    return marked.select("doc_id", F.col("k.node").alias("node")).join(named, "node").select("doc_id", "component_id")
+    named = nodes.join(found, "node", "left").select("node", F.coalesce("least", "node").alias("root"))
+    return truncate_lineage(marked.select("doc_id", "_h", F.col("k.node").alias("node")).join(named, "node").select("doc_id", "_h", "root"))

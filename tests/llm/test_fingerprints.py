@@ -7,9 +7,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillstrata.llm import multiset_hash, simhash
 
@@ -99,10 +101,66 @@ def test_components(spark, table, odd_texts):
     ids[3], ids[5] = None, ids[6]
     docs = table(texts, ids)
     assert got(simhash.near_duplicates(docs).collect()) == brute_components(list(zip(ids, texts, strict=True)))
-    first = simhash.first_of_each(docs)
-    assert first.columns == docs.columns
-    want = {d for d, found in brute_components(list(zip(ids, texts, strict=True))).items() if d is None or any(c == d for _, c in found)}
-    assert {r.doc_id for r in first.collect()} == want
+
+
+def test_one_row_of_each_class_stays(spark, table):
+    texts = ["a b", "a b", "a b", None, "", "c d e", "c d e", "f"]
+    ids = [5, 2, 2, None, None, None, None, None]
+    docs = table(texts, ids)
+    members = docs.select("doc_id", simhash.text_hash(docs["text"]).alias("_h"), simhash.text_hash(docs["text"]).alias("root"))
+    rows = simhash.first_of_each(docs, members).collect()
+    assert simhash.first_of_each(docs, members).columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in rows) == [(0, ""), (0, "c d e"), (0, "f"), (2, "a b")]
+
+
+def test_heavy_groups_are_dealt_again(spark, monkeypatch):
+    """One huge cluster: fingerprints that differ in their free bits only; and far ones that share its keys."""
+    rng = random.Random(5)
+    values = {rng.getrandbits(24) for _ in range(3000)} | {rng.getrandbits(64) for _ in range(300)}
+    values |= {v ^ 1 << b for v in list(values)[:200] for b in (3, 40)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+    monkeypatch.setattr(simhash, "HEAVY", 1 << 60)
+    want = {(r.node, r.least) for r in simhash.components(simhash.links(fps)).collect()}
+    monkeypatch.setattr(simhash, "HEAVY", 40)
+    assert {(r.node, r.least) for r in simhash.components(simhash.links(fps)).collect()} == want
+    bits = np.array(signed, np.int64).view(np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3
+    reached, left = {}, set(range(len(bits)))
+    while left:
+        queue, group = [left.pop()], []
+        while queue:
+            x = queue.pop()
+            group.append(x)
+            more = set(np.flatnonzero(near[x]).tolist()) & left
+            left -= more
+            queue += more
+        least = min(signed[x] for x in group)
+        reached |= {signed[x]: least for x in group if signed[x] != least}
+    assert want == set(reached.items())
+
+
+def test_groups_are_the_same_however_rows_come():
+    rng = np.random.default_rng(2)
+    rows = np.column_stack((np.sort(rng.integers(0, 6, 400)), rng.integers(-(1 << 62), 1 << 62, 400), rng.integers(0, 1 << 40, (400, 2))))
+    want = None
+    for size in (1, 2, 7, 50, 400):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i : i + size].T], names=simhash._COLUMNS) for i in range(0, 400, size)]
+        out = pa.Table.from_batches(simhash._searched(30)(iter(batches))).to_pylist()
+        got = sorted(tuple(-1 if v is None else v for v in r.values()) for r in out)
+        assert len(got) >= 20 * 390 and (want is None or got == want)
+        want = got
+
+
+def test_pivot_tables_discard_and_lose_nothing(spark):
+    rng = random.Random(9)
+    values = np.array(sorted({rng.getrandbits(64) for _ in range(400)}), np.uint64)
+    table = simhash.table_of(values)
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp bigint").select("fp", *(c.alias(n) for c, n in zip(simhash.pivot_distances(F.col("fp")), ("near", "far"), strict=True))).collect()
+    assert np.array([[r.near, r.far] for r in rows], np.int64).view(np.int8).tolist() == table.tolist()
+    apart = np.abs(table[:, None, :].astype(int) - table[None, :, :]).max(axis=2)
+    bits = np.bitwise_count(values[:, None] ^ values[None, :])
+    assert (apart <= bits).all() and (apart > simhash.DISTANCE).mean() > 0.95
 
 
 def test_components_of_a_chain_and_of_nothing(spark, table):

@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quillstrata.llm import bpe, credentials, mixing, repetition, simhash, stages
+from quillstrata.llm import bpe, credentials, mixing, repetition, stages
+from test_near_copies import brute_first
 
 
 def test_stages_do_what_their_operators_say(spark, sf_dir):
@@ -17,7 +18,7 @@ def test_stages_do_what_their_operators_say(spark, sf_dir):
     kept = {r.doc_id for r in docs.collect() if repetition.measure(r.text)[6]}
     after = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
     assert after.columns == docs.columns and {r.doc_id for r in after.collect()} == kept
-    first = {r.component_id for r in simhash.near_duplicates(after).collect()}
+    first = brute_first([(r.doc_id, r.text) for r in after.collect()])
     deduped = corpus_pipeline.STAGES[1][1](spark, after, sf_dir)
     assert deduped.columns == docs.columns and {r.doc_id for r in deduped.collect()} == first
     masked = corpus_pipeline.STAGES[2][1](spark, deduped, sf_dir)
@@ -40,4 +41,4 @@ def test_stages_on_odd_tables(spark, table, texts):
     for name, stage in stages.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns, name
     found = stages.run_stages(spark, docs, "", stages.STAGES).collect()
-    assert len(found) in (0, 4, 5, 6)
+    assert len(found) in ((0,) if len(texts) != 3 else (1, 2))  # of three equal rows one stays, and is taken 1.5 times
