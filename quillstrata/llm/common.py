@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,12 +46,14 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is set, a folder of this machine serves
+    a local session; on a cluster that is an error, as other machines could not read it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstrata-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstrata-"))
     return context.getCheckpointDir()
 
 
