@@ -183,6 +183,19 @@ def _supported(path: str) -> bool:
     return (os.path.splitext(name)[1].lower() in EXTENSIONS or name in FILENAMES) and name not in keyword.SKIP_FILENAMES
 
 
+def _warn(message: str) -> None:
+    print(f"Warning: {message}", file=sys.stderr)
+
+
+def _reranker():
+    """A cross-encoder where its package is there; else None, and words in common decide."""
+    try:
+        return fusion.cross_encoder("cross-encoder/ms-marco-MiniLM-L-6-v2")
+    except Exception as e:  # noqa: BLE001: no package, no model or no network
+        _warn(f"no cross-encoder ({e}); reranking by words in common")
+        return None
+
+
 def search(app: App, args: argparse.Namespace) -> None:
     backend: Backend | None = None
     if args.mode in ("hybrid", "semantic"):
@@ -205,12 +218,19 @@ def search(app: App, args: argparse.Namespace) -> None:
         elif args.mode == "symbol":
             rows = store.search_symbol(args.query, args.repo, limit=args.limit, profile=profile)
         elif args.mode == "semantic":
-            rows = store.search_vector(backend.embed_query(args.query), args.limit, args.repo, profile)
+            rows = store.search_vector(backend.embed_query(args.query), args.limit, args.repo, profile, probes=store.probes(profile))
         else:
             vector = backend.embed_query(args.query) if backend and store.exists(profile) else None
-            scorer = fusion.overlap_scorer(args.query) if args.rerank or app.cfg.rerank else None
-            rows = fusion.hybrid_search(store.chunks(profile, args.repo), app.files(args.repo), args.query, vector, args.limit, args.repo, args.regex, scorer)
+            wanted = args.rerank or app.cfg.rerank
+            model = _reranker() if wanted else None
+            scorer = fusion.overlap_scorer(args.query) if wanted and model is None else None
+            full_text = store.search_text(args.query, fusion.LIMITS["fts"], args.repo, profile) if store.exists(profile) else None
+            semantic = store.search_vector(vector, fusion.LIMITS["semantic"], args.repo, profile, probes=store.probes(profile)) if vector else None
+            legs = fusion.legs_of(store.chunks(profile, args.repo), app.files(args.repo), args.query, None, args.repo, args.regex, semantic, full_text)
+            rows = fusion.run_apart(session(), legs, args.query, None if model else args.limit, scorer, say=_warn)
         found = rows.collect()
+        if args.mode == "hybrid" and model:
+            found = fusion.reranked([r.asDict(recursive=True) for r in found], args.query, model, say=_warn)[: args.limit]
     except StoreError as e:
         raise Failure(f"{e}; try: index --full") from e
     if args.format == "json":

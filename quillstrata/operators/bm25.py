@@ -2,16 +2,14 @@
 
 A query needs, of each chunk, its length and how often it has each of the query's terms; so a scan computes just these,
 without exploding tokens: nothing but one row of sums and the top rows leaves the executors. ``postings`` is the
-materialised form, for many queries over a corpus that is written once.
+materialised form, for many queries over a corpus that is written once, and ``ranked`` answers from it without the texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.functions import text as fn
@@ -70,35 +68,55 @@ def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFra
     return scored.where("score > 0")
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions of each term of each row; a row's tokens are read once, in order."""
-    for batch in batches:
-        ids, terms, places, sizes = [], [], [], []
-        for key, toks in zip(batch.column("id").to_pylist(), batch.column("t"), strict=True):
-            own = toks.as_py()
-            at: dict[str, list[int]] = {}
-            for k, t in enumerate(own):
-                at.setdefault(t, []).append(k)
-            ids += [key] * len(at)
-            sizes += [len(own)] * len(at)
-            terms += at.keys()
-            places += at.values()
-        columns = [pa.array(terms, pa.string()), pa.array(ids, batch.schema.field("id").type), pa.array(map(len, places), pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf", "positions", "len"])
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, id, tf, positions, len): the inverted index. A chunk's postings are made where it is read, so building the
-    index shuffles nothing; to serve queries it is written partitioned by a hash of the term."""
-    kind = chunks.schema["id"].dataType.simpleString()
-    toks = chunks.select("id", fn.tokens(F.col("text")).alias("t"))
-    return toks.mapInArrow(_listed, f"term string, id {kind}, tf int, positions array<int>, len int")
-
-
-def phrase(postings_of: DataFrame, words: list[str]) -> DataFrame:
-    """(id, at) where the words follow each other: a join of their positions, dealt by id."""
-    found = None
-    for offset, word in enumerate(words):
-        at = postings_of.where(F.col("term") == word).select("id", F.explode("positions").alias("p")).select("id", (F.col("p") - offset).alias("at"))
-        found = at if found is None else found.join(at, ["id", "at"])
-    return found
+def _in_a_row(places: list[Column]) -> Column:
+    """Whether a position of the first list is followed by the next one of the second, and so on; a null list has none."""
+
+    def follows(at: Column) -> Column:
+        good = F.lit(True)
+        for k, own in enumerate(places[1:], 1):
+            good = good & F.coalesce(F.array_contains(own, at + k), F.lit(False))
+        return good
+
+    return F.exists(F.coalesce(places[0], F.array().cast("array<int>")), follows)
+
+
+def ranked(found: DataFrame, query: str, n_docs: int, avg_len: float, limit: int | None, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, repo, file, start_line, score): the best ``limit`` chunks (None: all) by postings of the query's terms, as ``bm25`` scores
+    them. One aggregation by chunk over these postings, and no text."""
+    terms, phrases = terms_of(query)
+    one = [F.max_by("positions", F.when(F.col("term") == w, F.lit(1))).alias(f"_p{i}") for i, w in enumerate(terms)]
+    rows = found.groupBy("id", "repo", "file", "start_line").agg(F.max("len").cast("double").alias("_len"), *one)
+    every = found.groupBy("term").agg(F.count("*").cast("double").alias("n"))
+    df = {r.term: r.n for r in every.collect()}  # a row for each term of the query
+    for words in phrases:
+        rows = rows.where(_in_a_row([F.col(f"_p{terms.index(w)}") for w in words]))
+    score = F.lit(0.0)
+    for i, w in enumerate(terms):
+        tf = F.size(f"_p{i}").cast("double")
+        norm = tf + k1 * (1 - b + b * F.col("_len") / avg_len)
+        score = score + F.when(tf > 0, idf(F.lit(float(n_docs)), F.lit(df.get(w, 0.0))) * tf * (k1 + 1) / norm).otherwise(0.0)
+    scored = rows.select("id", "repo", "file", "start_line", score.alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc(F.round("score", 6)), "repo", "file", "start_line").limit(limit)
+
+
+def postings(chunks: DataFrame, *kept: str) -> DataFrame:
+    """(term, id, tf, positions, len) and the columns ``kept``: the inverted index, one row for each term of a chunk."""
+    toks = chunks.select("id", *kept, fn.tokens(F.col("text")).alias("_t")).withColumn("len", F.size("_t"))
+    each = toks.select("id", *kept, "len", F.posexplode("_t").alias("at", "term"))
+    listed = each.groupBy("term", "id", *kept).agg(F.sort_array(F.collect_list("at")).alias("positions"), F.first("len").alias("len"))
+    return listed.select("term", "id", F.size("positions").alias("tf"), "positions", "len", *kept)
+
+
+def phrase_positions(chunks: DataFrame, words: list[str]) -> DataFrame:
+    """(id, at) where the words, lower-cased tokens, follow each other: one scan, in which only texts that contain each
+    word are cut into tokens, and no positions but those of the phrase are made."""
+    for w in words:
+        chunks = chunks.where(F.lower("text").contains(w))
+    size, wanted = len(words), " ".join(words)
+
+    def starts(toks):  # tokens are bound to a variable: a column could be computed again for each of them
+        at = F.transform(toks, lambda t, i: F.when((t == words[0]) & (F.array_join(F.slice(toks, i + 1, size), " ") == wanted), i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    found = F.flatten(F.transform(F.array(fn.tokens(F.col("text"))), lambda toks: starts(toks)))
+    return chunks.select("id", F.explode(found).alias("at"))

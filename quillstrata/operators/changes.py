@@ -12,12 +12,16 @@ def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     o, n = (x.select("repo", "path", F.col("hash").alias(h)) for x, h in ((old, "oh"), (new, "nh")))
     both = o.join(n, ["repo", "path"], "full_outer")
     status = F.when(F.col("oh").isNull(), "A").when(F.col("nh").isNull(), "D").when(F.col("oh") != F.col("nh"), "M")
-    raw = both.withColumn("status", status).where("status IS NOT NULL").withColumn("hash", F.coalesce("nh", "oh"))
-    one = lambda s: raw.where(F.col("status") == s).groupBy("repo", "hash").agg(F.count("*").alias("k"), F.min("path").alias("p")).where("k = 1").select("repo", "hash", F.col("p"))
-    moved = one("A").withColumnRenamed("p", "path").join(one("D").withColumnRenamed("p", "old_path"), ["repo", "hash"]).select("repo", "path", F.lit("R").alias("status"), "old_path")
-    gone = moved.select("repo", F.explode(F.array("path", "old_path")).alias("path"))
-    rest = raw.select("repo", "path", "status", F.lit(None).cast("string").alias("old_path"))
-    return rest.join(gone, ["repo", "path"], "left_anti").unionByName(moved)
+    raw = both.select("repo", "path", status.alias("status"), F.coalesce("nh", "oh").alias("hash")).where("status IS NOT NULL")
+    # one aggregation by content tells the moves: two numbers and two paths of each, however many paths have it
+    n_of = lambda s: F.count_if(F.col("status") == s)
+    path_of = lambda s: F.min(F.when(F.col("status") == s, F.col("path")))
+    pairs = raw.where("status <> 'M'").groupBy("repo", "hash").agg(n_of("A").alias("a"), n_of("D").alias("d"), path_of("A").alias("to"), path_of("D").alias("from"))
+    pairs = pairs.where("a = 1 AND d = 1").select("repo", F.col("hash").alias("hash"), "to", "from")
+    joined = raw.join(pairs, ["repo", "hash"], "left")
+    moved = F.col("to").isNotNull() & (F.col("status") != "M")
+    kept = joined.where(~(moved & (F.col("status") == "D")))
+    return kept.select("repo", "path", F.when(moved, "R").otherwise(F.col("status")).alias("status"), F.when(moved, F.col("from")).alias("old_path"))
 
 
 def change_counts(feed: DataFrame) -> DataFrame:

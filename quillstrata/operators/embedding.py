@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import time
 import urllib.error
 import urllib.request
@@ -29,6 +30,8 @@ PREFIXES = {
     "nomic-ai/CodeRankEmbed": ("", "Represent this query for searching relevant code: "),
 }
 OUTER, INNER = 32, 8
+#: Characters to which a refused text is cut at most.
+SHORTEST = 2000
 
 
 class Backend(Protocol):
@@ -87,37 +90,50 @@ class HttpBackend:
             return json.load(answer)["embeddings"]
 
     def _tried(self, texts: list[str]) -> list[list[float]]:
-        """Three tries with waits of 1 and 2 seconds; time-outs are raised at once."""
+        """Three tries with waits of 1 and 2 seconds; time-outs are raised at once. A vector for each text, or ValueError."""
+        last: Exception | None = None
         for k in range(3):
+            if k:
+                self._wait(k)
             try:
-                return self._send(texts)
+                found = self._send(texts)
             except TimeoutError:
                 raise
-            except urllib.error.HTTPError:
-                if k == 2:
-                    raise
+            except urllib.error.HTTPError as e:
+                last = e
             except (ConnectionError, urllib.error.URLError) as e:
                 if isinstance(getattr(e, "reason", None), TimeoutError):
                     raise TimeoutError(str(e)) from e
-                if k == 2:
-                    raise ConnectionError(f"no answer from {self.url}: {e}") from e
-            self._wait(k + 1)
-        raise AssertionError
-
-    def _recovered(self, texts: list[str]) -> list[list[float]]:
-        """A batch that the server refuses is halved; a text that it refuses alone is tried once more, cut short."""
-        try:
-            return self._tried(texts)
-        except urllib.error.HTTPError:
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return self._recovered(texts[:half]) + self._recovered(texts[half:])
-            if len(texts[0]) > 2000:
-                return self._tried([texts[0][:2000]])
-            raise
+                last = ConnectionError(f"no answer from {self.url}: {e}")
+            else:
+                if len(found) != len(texts):
+                    raise ValueError(f"{self.url} gave {len(found)} vectors for {len(texts)} texts")
+                return found
+        raise last
 
     def _embed(self, texts: list[str]) -> list[list[float]]:
-        return [v for i in range(0, len(texts), INNER) for v in self._recovered(texts[i : i + INNER])]
+        """Batches from a work list: one that the server refuses comes back as two halves. A text that it refuses alone is
+        embedded by its beginning, half as long each time, down to SHORTEST characters, and that is said on stderr."""
+        found: dict[int, list[float]] = {}
+        work = [list(range(i, min(i + INNER, len(texts)))) for i in reversed(range(0, len(texts), INNER))]
+        sizes = [len(t) for t in texts]
+        while work:
+            batch = work.pop()
+            try:
+                vectors = self._tried([texts[i][: sizes[i]] for i in batch])
+            except urllib.error.HTTPError:
+                half, i = len(batch) // 2, batch[0]
+                if half:
+                    work += [batch[half:], batch[:half]]
+                elif sizes[i] > SHORTEST:
+                    sizes[i] = max(SHORTEST, sizes[i] // 2)
+                    print(f"Warning: a text of {len(texts[i])} characters was refused; trying its first {sizes[i]}", file=sys.stderr)
+                    work.append(batch)
+                else:
+                    raise
+            else:
+                found.update(zip(batch, vectors, strict=True))
+        return [found[i] for i in range(len(texts))]
 
     def embed_documents(self, texts: list[str]) -> list[list[float]]:
         return self._embed([self.prefixes[0] + t for t in texts])

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ WEIGHTS = {
 }
 RRF_K = 60
 LIMITS = {"ripgrep": 50, "semantic": 30, "fts": 30, "symbol": 10}
+#: Seconds that a leg may take.
+TIMES = {"ripgrep": 15.0, "semantic": 20.0, "fts": 20.0, "symbol": 20.0}
 RERANKED = 30
 
 
@@ -52,14 +58,16 @@ def lines_to_chunks(hits: DataFrame, chunks: DataFrame, bin_lines: int = 64) ->
     """
     bins = F.sequence(F.floor(F.col("start_line") / bin_lines), F.floor(F.greatest("end_line", "start_line") / bin_lines))
     placed = chunks.select("repo", "file", F.explode(bins).alias("_bin"), F.struct(*RESULT_COLUMNS).alias("chunk"))
-    marked = hits.withColumns({"_bin": F.floor(F.col("line") / bin_lines), "_hit": F.struct("repo", "file", "line", "text")})
+    marked = hits.withColumn("_bin", F.floor(F.col("line") / bin_lines))
     holds = F.col("line").between(F.col("chunk.start_line"), F.col("chunk.end_line"))
     h, c = marked.alias("h"), placed.alias("c")
     on = (F.col("h.repo") == F.col("c.repo")) & (F.col("h.file") == F.col("c.file")) & (F.col("h._bin") == F.col("c._bin")) & holds
     joined = h.join(c, on, "left").select("h.*", "chunk")
     size = F.col("chunk.end_line") - F.col("chunk.start_line")
-    best = joined.groupBy("_hit").agg(F.min_by(F.struct(*hits.columns, "chunk"), F.struct(size, F.col("chunk.start_line"), F.col("chunk.symbol_name"))).alias("b"), F.first(F.struct(*hits.columns, "chunk")).alias("f"))
-    return best.select(F.coalesce("b", "f").alias("x")).select("x.*")
+    order = F.struct(size, F.col("chunk.start_line"), F.col("chunk.symbol_name"))
+    # a file has one line of a number; a hit without a chunk has one row
+    best = joined.groupBy("repo", "file", "line").agg(F.min_by(F.struct("chunk"), order).alias("b"), *(F.first(c).alias(c) for c in hits.columns if c not in ("repo", "file", "line")))
+    return best.select(*hits.columns, F.col("b.chunk").alias("chunk"))
 
 
 def as_results(hits: DataFrame) -> DataFrame:
@@ -129,6 +137,52 @@ def rerank(fused: DataFrame, scorer: Callable[[Column], Column], top: int = RERA
     return placed.withColumn("place", F.row_number().over(W.orderBy(*order))).drop("_at")
 
 
+def full_text_leg(rows: DataFrame) -> DataFrame:
+    return ranked(rows, "fts", [F.desc(F.round("score", 6)), *map(F.col, KEY)], LIMITS["fts"])
+
+
+def legs_of(
+    chunks: DataFrame,
+    files: DataFrame,
+    query: str,
+    query_vector: list[float] | None = None,
+    repo: str | None = None,
+    regex: bool = False,
+    semantic: DataFrame | None = None,
+    full_text: DataFrame | None = None,
+) -> dict[str, Callable[[], DataFrame]]:
+    """The legs of a query, each made when it is called for.
+
+    The semantic leg is there where there is a query vector (or ``semantic``, results with a ``distance`` made elsewhere),
+    the symbol leg for queries that look like code. ``full_text``: results with a ``score`` from a stored index, in place
+    of a scan of the chunks. A repo filter holds for every leg.
+    """
+    if repo is not None:
+        chunks, files = chunks.where(F.col("repo") == repo), files.where(F.col("repo") == repo)
+    keys = list(map(F.col, KEY))
+
+    def nearest() -> DataFrame:
+        rows = vector_search(chunks, query_vector, LIMITS["semantic"]) if semantic is None else semantic
+        return ranked(rows, "semantic", [F.round("distance", 6), *keys], LIMITS["semantic"])
+
+    def named() -> DataFrame:
+        return ranked(symbol_search(chunks, query.strip(), limit=LIMITS["symbol"]), "symbol", [F.desc("score"), *keys])
+
+    def worded() -> DataFrame:
+        return full_text_leg(bm25(chunks, query) if full_text is None else full_text)
+
+    def literal() -> DataFrame:
+        lines = keyword_search(files, query, LIMITS["ripgrep"], regex=regex)
+        # the lines' files are few (the limit bounds them), so only their chunks meet them
+        near = chunks.join(F.broadcast(lines.select("repo", "file").distinct()), ["repo", "file"], "left_semi")
+        return ranked(as_results(lines_to_chunks(lines, near)), "ripgrep", [F.col("_order")])
+
+    legs = {"semantic": nearest} if semantic is not None or query_vector is not None else {}
+    if classify(query) != "natural_language":
+        legs["symbol"] = named
+    return legs | {"fts": worded, "ripgrep": literal}
+
+
 def hybrid_search(
     chunks: DataFrame,
     files: DataFrame,
@@ -139,30 +193,80 @@ def hybrid_search(
     regex: bool = False,
     scorer: Callable[[Column], Column] | None = None,
     semantic: DataFrame | None = None,
+    full_text: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused results of up to four legs, best first, as one lazy plan.
+    """Fused results of up to four legs (``legs_of``), best first, as one lazy plan. ``scorer`` reranks the first 30."""
+    legs = legs_of(chunks, files, query, query_vector, repo, regex, semantic, full_text)
+    return _fused([leg() for leg in legs.values()], query, limit, scorer)
 
-    The semantic leg runs where there is a query vector (or ``semantic``, results with a ``distance`` made elsewhere); the
-    symbol leg for queries that look like code. A repo filter holds for every leg. ``scorer`` reranks the first 30.
-    """
-    kind = classify(query)
-    if repo is not None:
-        chunks, files = chunks.where(F.col("repo") == repo), files.where(F.col("repo") == repo)
-    legs = []
-    if semantic is None and query_vector is not None:
-        semantic = vector_search(chunks, query_vector, LIMITS["semantic"])
-    if semantic is not None:
-        legs.append(ranked(semantic, "semantic", [F.round("distance", 6), *map(F.col, KEY)], LIMITS["semantic"]))
-    if kind != "natural_language":
-        legs.append(ranked(symbol_search(chunks, query.strip(), limit=LIMITS["symbol"]), "symbol", [F.desc("score"), *map(F.col, KEY)]))
-    legs.append(ranked(bm25(chunks, query), "fts", [F.desc(F.round("score", 6)), *map(F.col, KEY)], LIMITS["fts"]))
-    lines = keyword_search(files, query, LIMITS["ripgrep"], regex=regex)
-    # the lines' files are few, so only their chunks meet them
-    near = chunks.join(F.broadcast(lines.select("repo", "file").distinct()), ["repo", "file"], "left_semi")
-    hits = as_results(lines_to_chunks(lines, near))
-    legs.append(ranked(hits, "ripgrep", [F.col("_order")]))
-    fused = fuse(legs, WEIGHTS[kind])
+
+def _fused(legs: list[DataFrame], query: str, limit: int | None, scorer: Callable[[Column], Column] | None) -> DataFrame:
+    fused = fuse(legs, WEIGHTS[classify(query)])
     if scorer is not None:
         done = rerank(fused, scorer).orderBy("place")
         return done if limit is None else done.limit(limit)
     return in_order(fused, limit)
+
+
+def run_apart(
+    spark: SparkSession,
+    legs: dict[str, Callable[[], DataFrame]],
+    query: str,
+    limit: int | None = 10,
+    scorer: Callable[[Column], Column] | None = None,
+    seconds: dict[str, float] | None = None,
+    say: Callable[[str], None] = lambda m: None,
+) -> DataFrame:
+    """Fused results of legs that run side by side. One that fails, or takes longer than its time, is told to ``say`` and
+    left out; if all do, the last error is raised. What comes to the driver are the legs' rows, at most LIMITS of each."""
+    waits = TIMES if seconds is None else seconds
+    found: dict[str, list] = {}
+    errors: dict[str, BaseException] = {}
+
+    def run(name: str, group: str) -> None:
+        try:
+            spark.sparkContext.setJobGroup(group, f"leg {name}", interruptOnCancel=True)
+            found[name] = [tuple(r) for r in legs[name]().collect()]
+        except Exception as e:  # noqa: BLE001: any failure of a leg leaves the others
+            errors[name] = e
+
+    group = uuid.uuid4().hex
+    threads = {name: InheritableThread(target=run, args=(name, f"{group}-{name}"), daemon=True) for name in legs}
+    start = time.monotonic()
+    for t in threads.values():
+        t.start()
+    for name, t in threads.items():
+        t.join(max(0.0, waits.get(name, max(waits.values())) - (time.monotonic() - start)))
+        if t.is_alive():
+            spark.sparkContext.cancelJobGroup(f"{group}-{name}")
+            errors[name] = TimeoutError(f"no answer within {waits.get(name)} s")
+    good = [name for name in legs if name in found and name not in errors]
+    for name, e in errors.items():
+        say(f"leg {name} left out: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+    if not good:
+        raise next(reversed(errors.values()))
+    shape = ", ".join(f"{c} {'int' if c in ('start_line', 'end_line') else 'string'}" for c in RESULT_COLUMNS) + ", rank int, leg string"
+    rows = [row for name in good for row in found[name]]
+    return _fused([spark.createDataFrame(rows, shape).coalesce(1)], query, limit, scorer)
+
+
+def reranked(rows: list[dict], query: str, score: Callable[[list[tuple[str, str]]], list[float]], top: int = RERANKED, say: Callable[[str], None] = lambda m: None) -> list[dict]:
+    """Results of a search, the first ``top`` by a model's score of (query, text) pairs; as they were if the model fails."""
+    head = rows[:top]
+    try:
+        scores = [float(s) for s in score([(query, r["text"]) for r in head])]
+        if len(scores) != len(head):
+            raise ValueError(f"{len(scores)} scores for {len(head)} texts")
+    except Exception as e:  # noqa: BLE001: whatever the model does, the results stay
+        say(f"reranking left out: {e}")
+        return rows
+    order = sorted(range(len(head)), key=lambda i: (-round(scores[i], 12), i))
+    return [head[i] | {"rerank_score": scores[i], "reranked": True} for i in order] + rows[top:]
+
+
+@cache
+def cross_encoder(model: str) -> Callable[[list[tuple[str, str]]], list[float]]:
+    """A cross-encoder of the sentence-transformers package, loaded once. ImportError if the package is not there."""
+    from sentence_transformers import CrossEncoder
+
+    return CrossEncoder(model).predict

@@ -63,9 +63,10 @@ def vector_search(chunks: DataFrame, query: list[float], limit: int = 30, repo:
     return scored.withColumn("score", fn.distance_score(F.col("distance"))).orderBy(F.round("distance", 6), *by).limit(limit)
 
 
-def n_cells(rows: int) -> int:
-    """How many cells a coarse index has: the square root of the rows, from 16 to 512."""
-    return max(16, min(512, int(sqrt(rows))))
+def n_cells(rows: int, fit_rows: int = 200_000) -> int:
+    """How many cells a coarse index has: the square root of the rows, 16 at least, and no more than the rows that the
+    centres are fitted on can tell apart (50 for each)."""
+    return max(16, min(fit_rows // 50, int(sqrt(rows))))
 
 
 def build_cells(chunks: DataFrame, rows: int, seed: int = 42, fit_rows: int = 200_000) -> tuple[DataFrame, list[list[float]]]:
@@ -78,7 +79,7 @@ def build_cells(chunks: DataFrame, rows: int, seed: int = 42, fit_rows: int = 20
     unit = F.when(norm > 0, F.transform("vector", lambda x: x.cast("double") / norm)).otherwise(F.transform("vector", lambda x: x.cast("double")))
     ready = chunks.withColumn("_unit", array_to_vector(unit))
     some = ready if rows <= fit_rows else ready.where(F.pmod(F.xxhash64("id"), F.lit(rows)) < fit_rows)
-    model = KMeans(k=n_cells(rows), seed=seed, featuresCol="_unit", predictionCol="cell", maxIter=10).fit(some.select("_unit"))
+    model = KMeans(k=n_cells(rows, fit_rows), seed=seed, featuresCol="_unit", predictionCol="cell", maxIter=10).fit(some.select("_unit"))
     return model.transform(ready).drop("_unit"), [c.tolist() for c in model.clusterCenters()]
 
 

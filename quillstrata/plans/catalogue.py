@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstrata.plans import search, structure, text
+from quillstrata.plans import code, search, stored, structure, text
 from quillstrata.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "search", "structure", "text"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "code", "search", "stored", "structure", "text"]
 
 FLAGSHIP = "hybrid_search"

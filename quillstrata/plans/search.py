@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from quillstrata.functions import text as fn
 from quillstrata.model import conform
 from quillstrata.operators import fusion
-from quillstrata.operators.bm25 import bm25, corpus_stats, phrase, postings
+from quillstrata.operators.bm25 import bm25, corpus_stats, phrase_positions, postings
 from quillstrata.operators.chunking import chunk_files, dealt
 from quillstrata.operators.embedding import HashBackend, embed_column
+from quillstrata.operators.keyword import keyword_lines
 from quillstrata.operators.symbols import list_symbols, resolve_symbol, suggestions, symbol_search, symbol_tiers
 from quillstrata.operators.vector import build_cells, cell_search_all, distance, vector_search
-from quillstrata.plans.base import FILES, TOKENS, big, bm25_sql, files, kept, query, table, windows
+from quillstrata.plans.base import FILES, TOKENS, big, bm25_sql, files, query, table, windows
+from quillstrata.plans.stored import served
 
 WHOLE = 1 << 30
 
@@ -35,14 +37,24 @@ def _top(rows: DataFrame, column: str, down: bool, limit: int, *by: str) -> Data
     return rounded.orderBy(F.desc(column) if down else F.asc(column), *by).limit(limit)
 
 
-@query(f"WITH {FILES}, {bm25_sql('f', ['the', 'heretion', 'of'], key='doc_id')} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 30")
+@query(f"WITH {FILES}, {bm25_sql('f', ['the', 'heretion', 'of'], key='doc_id, repo, file')} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, repo, file LIMIT 30")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the stored postings; only the results' texts are read."""
+    found = served(spark, sf_dir).search_text("the heretion, of", 30, profile="whole")
+    return found.select(big("start_line").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {FILES}, {bm25_sql('f', ['the', 'heretion', 'of'], key='doc_id')} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 30")
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking without an index: two scans of the texts."""
     return _top(bm25(_documents(spark, sf_dir), "the heretion, of"), "score", True, 30, "doc_id").select("doc_id", "score")
 
 
 @query(f"WITH {FILES}, {bm25_sql('f', ['of', 'the', 'and'], ['of the'], key='doc_id')} SELECT doc_id, round(score, 6) AS score FROM scored")
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(_documents(spark, sf_dir), '"of the" and').select("doc_id", F.round("score", 6).alias("score"))
+    """All chunks with the phrase, by the stored postings' positions."""
+    found = served(spark, sf_dir).ranked_text('"of the" and', None, profile="whole")
+    return found.select(big("start_line").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""
@@ -50,8 +62,8 @@ WITH {FILES}, p AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS k, t FROM (SE
 SELECT doc_id, (k - 1)::BIGINT AS at FROM p WHERE t[k] = 'of' AND k < len(t) AND t[k + 1] = 'the'
 """)
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = postings(_documents(spark, sf_dir).withColumn("id", F.col("doc_id")))
-    return phrase(index, ["of", "the"]).select(F.col("id").alias("doc_id"), big("at").alias("at"))
+    rows = _documents(spark, sf_dir).withColumn("id", F.col("doc_id"))
+    return phrase_positions(rows, ["of", "the"]).select(F.col("id").alias("doc_id"), big("at").alias("at"))
 
 
 @query(f"""
@@ -208,7 +220,7 @@ SELECT repo, file, line, start_line, end_line FROM (
   FROM hits h LEFT JOIN c ON h.repo = c.repo AND h.file = c.file AND h.line BETWEEN c.start_line AND c.end_line) WHERE n = 1
 """)
 def line_to_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fusion.keyword_search(_documents(spark, sf_dir), "the", 1 << 30)
+    hits = keyword_lines(_documents(spark, sf_dir), "the")
     found = fusion.lines_to_chunks(hits, _small_windows(spark, sf_dir))
     return found.select("repo", "file", "line", big("chunk.start_line").alias("start_line"), big("chunk.end_line").alias("end_line"))
 
@@ -226,22 +238,27 @@ def chunk_containing_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 # fusion
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line windows whose first word is their symbol, so that the symbol leg has something to find."""
-    found = kept(chunk_files(_documents(spark, sf_dir), WHOLE))  # every leg reads it
-    return found.withColumns({"symbol_name": F.regexp_extract("text", "^[A-Za-z]+", 0), "vector": F.lit(None).cast("array<float>")})
-
-
 def _semantic(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     """Chunks of the documents whose ids the nearest vectors have."""
     rows, q = _vectors(spark, sf_dir)
     near = vector_search(rows, q, 30, by=("vec_id",)).select(F.concat(F.lit("doc/"), F.col("vec_id"), F.lit(".txt")).alias("file"), "distance")
-    return chunks.drop("vector").join(F.broadcast(near), "file")
+    return chunks.drop("vector").join(F.broadcast(near), "file")  # 30 rows
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, text: str, limit: int | None = 20, scorer=None) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    return fusion.hybrid_search(chunks, _documents(spark, sf_dir), text, limit=limit, semantic=_semantic(spark, sf_dir, chunks), scorer=scorer)
+    """One lazy plan over the stored chunks; the full-text leg is served from the postings."""
+    store = served(spark, sf_dir)
+    chunks = store.chunks()
+    return fusion.hybrid_search(chunks, _documents(spark, sf_dir), text, limit=limit, semantic=_semantic(spark, sf_dir, chunks), scorer=scorer, full_text=store.search_text(text, fusion.LIMITS["fts"]))
+
+
+def _apart(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The same with legs that run side by side, as the command line searches."""
+    store = served(spark, sf_dir)
+    chunks = store.chunks()
+    legs = fusion.legs_of(chunks, files(spark, sf_dir), text, semantic=_semantic(spark, sf_dir, chunks))
+    legs["fts"] = lambda: fusion.full_text_leg(store.search_text(text, fusion.LIMITS["fts"]))
+    return fusion.run_apart(spark, legs, text, 20, seconds=dict.fromkeys(legs, 3600.0))
 
 
 def _legs_sql(text: str, terms: list[str]) -> str:
@@ -278,12 +295,12 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 @query(_legs_sql("The", ["the"]) + f" SELECT {_FUSED} FROM fused ORDER BY round(fused.rrf_score, 12) DESC, place LIMIT 20")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_hybrid(spark, sf_dir, "The"))
+    return _shown(_apart(spark, sf_dir, "The"))
 
 
 @query(_legs_sql("of the", ["of", "the"]) + f" SELECT {_FUSED} FROM fused ORDER BY round(fused.rrf_score, 12) DESC, place LIMIT 20")
 def hybrid_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_hybrid(spark, sf_dir, "of the"))
+    return _shown(_apart(spark, sf_dir, "of the"))
 
 
 @query(_legs_sql("the St.", ["the", "st"]) + f" SELECT {_FUSED} FROM fused")

@@ -111,10 +111,10 @@ def repo_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = files(spark, sf_dir).select("doc_id", "repo", "file", "text")
-    return rows.where("doc_id % 3 <> 0").select("doc_id", "repo", "file", "text"), rows.where("doc_id % 2 = 0").withColumn("text", F.upper(F.lit("new")))
+    return rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 2 = 0 OR doc_id % 3 = 0").withColumn("text", F.upper(F.lit("new")))
 
 
-@query(f"WITH {FILES}, o AS (SELECT doc_id, text FROM f WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, 'NEW' AS text FROM f WHERE doc_id % 2 = 0) SELECT doc_id, md5(text) AS text_md5 FROM (SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n)")
+@query(f"WITH {FILES}, o AS (SELECT doc_id, text FROM f WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, 'NEW' AS text FROM f WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) SELECT doc_id, md5(text) AS text_md5 FROM (SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n)")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
     return changes.upsert(old, new, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
@@ -134,11 +134,6 @@ def delete_stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.without_stale_chunks(rows, rows.where("doc_id % 5 < 2"), valid).select("doc_id")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R'")
-def delete_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber")
-
-
 _FEED = f"""WITH {FILES}, o AS (SELECT repo, file AS path, sha256(text) AS h FROM f WHERE doc_id % 5 <> 0),
 n AS (SELECT repo, CASE WHEN doc_id % 11 = 0 THEN file || '.moved' ELSE file END AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM f WHERE doc_id % 4 <> 0),
 b AS (SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.path, n.path) AS path, o.h AS oh, n.h AS nh FROM o FULL JOIN n ON o.repo = n.repo AND o.path = n.path),
@@ -196,32 +191,43 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as files of two versions: words are symbols, the number of times they occur is the signature."""
+    """Each turn of a conversation as a file's version, before and after: words are symbols, the number of times they occur
+    is the signature. Versions are keyed by the turn that comes after; the last turn is no one's predecessor."""
     rows = _turns(spark, sf_dir).select("conv_id", "turn", F.explode(fn.tokens(F.col("text"))).alias("symbol_name"))
     counted = rows.groupBy("conv_id", "turn", "symbol_name").agg(F.count("*").alias("n"))
     shaped = counted.select("conv_id", "turn", "symbol_name", (F.col("n") > 1).cast("string").alias("signature"), F.col("n").cast("string").alias("text"))
-    return shaped.where("turn = 1").drop("turn"), shaped.where("turn = 2").drop("turn")
+    return _neighbours(spark, sf_dir, shaped)
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(old, new) of versions by turn, where old ones have the number of the next turn, for each two turns in a row."""
+    turns = _turns(spark, sf_dir).select("conv_id", "turn").distinct()
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") + 1).alias("turn")), ["conv_id", "turn"], "left_semi")
+    old = versions.withColumn("turn", F.col("turn") + 1)
+    return old.join(pairs, ["conv_id", "turn"], "left_semi"), versions.join(pairs, ["conv_id", "turn"], "left_semi")
 
 
 @query(r"""
 WITH t AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda z: z <> '')) AS w FROM conversations),
 v AS (SELECT conv_id, turn, w, count(*) AS n FROM t GROUP BY conv_id, turn, w),
-o AS (SELECT * FROM v WHERE turn = 1), p AS (SELECT * FROM v WHERE turn = 2)
-SELECT coalesce(o.conv_id, p.conv_id) AS conv_id, coalesce(o.w, p.w) AS symbol_name,
+k AS (SELECT DISTINCT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
+o AS (SELECT v.conv_id, v.turn + 1 AS turn, w, n FROM v JOIN k ON v.conv_id = k.conv_id AND v.turn + 1 = k.turn), p AS (SELECT v.* FROM v JOIN k USING (conv_id, turn))
+SELECT coalesce(o.conv_id, p.conv_id) AS conv_id, coalesce(o.turn, p.turn)::BIGINT AS turn, coalesce(o.w, p.w) AS symbol_name,
   CASE WHEN o.n IS NULL THEN 'added' WHEN p.n IS NULL THEN 'removed' WHEN (o.n > 1) <> (p.n > 1) THEN 'signature_changed' ELSE 'body_changed' END AS change_type,
   CASE WHEN o.n IS NULL OR p.n IS NULL OR (o.n > 1) <> (p.n > 1) THEN 'major' ELSE 'minor' END AS significance
-FROM o FULL JOIN p ON o.conv_id = p.conv_id AND o.w = p.w WHERE o.n IS NULL OR p.n IS NULL OR o.n <> p.n
+FROM o FULL JOIN p ON o.conv_id = p.conv_id AND o.turn = p.turn AND o.w = p.w WHERE o.n IS NULL OR p.n IS NULL OR o.n <> p.n
 """)
 def structural_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _two(spark, sf_dir)
-    return history.structural_diff(old, new, "conv_id", ratio=False).select("conv_id", "symbol_name", "change_type", "significance")
+    return history.structural_diff(old, new, "conv_id", "turn", ratio=False).select("conv_id", big("turn").alias("turn"), "symbol_name", "change_type", "significance")
 
 
 @query()
 def structural_diff_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the share of each body that changed, which SQL can't compute."""
     rows = _turns(spark, sf_dir).select("conv_id", "turn", F.lit("said").alias("symbol_name"), F.lit("").alias("signature"), "text")
-    return history.structural_diff(rows.where("turn = 1").drop("turn"), rows.where("turn = 2").drop("turn"), "conv_id").select("conv_id", "change_type", "significance")
+    old, new = _neighbours(spark, sf_dir, rows)
+    return history.structural_diff(old, new, "conv_id", "turn").select("conv_id", big("turn").alias("turn"), "change_type", "significance")
 
 
 @query()
@@ -294,9 +300,12 @@ def name_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, to_json({'rank': row_number() OVER (ORDER BY vec_id)::BIGINT, 'label': label::BIGINT, 'score': round((vec_id % 7) / 4.0::DOUBLE, 4)})::VARCHAR AS json FROM embeddings
+WITH t AS (SELECT vec_id, label, (vec_id % 7) / 4.0::DOUBLE AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 100)
+SELECT vec_id, to_json({'rank': row_number() OVER (ORDER BY score DESC, vec_id)::BIGINT, 'label': label::BIGINT, 'score': round(score, 4)})::VARCHAR AS json FROM t
 """)
 def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.bround((F.col("vec_id") % 7) / F.lit(4.0), 4).alias("score"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.orderBy("vec_id")))  # a result list: as short as its limit
-    return ranked.select("vec_id", F.to_json(F.struct(big("rank").alias("rank"), big("label").alias("label"), "score")).alias("json"))
+    """A list of the best 100 rows, which its limit bounds before it is numbered."""
+    score = (F.col("vec_id") % 7) / F.lit(4.0)
+    best = table(spark, sf_dir, "embeddings").select("vec_id", "label", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(100)
+    ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "vec_id")))
+    return ranked.select("vec_id", F.to_json(F.struct(big("rank").alias("rank"), big("label").alias("label"), F.bround("score", 4).alias("score"))).alias("json"))

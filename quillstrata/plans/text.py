@@ -72,12 +72,11 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, CASE {_EXT_SQL} WHEN '.py' THEN 'python' WHEN '.tsx' THEN 'typescript' WHEN '.jsx' THEN 'javascript' WHEN '.sh' THEN 'shell'
-  WHEN '.md' THEN 'markdown' ELSE ltrim({_EXT_SQL}, '.') END AS language FROM documents WHERE doc_id % 16 <> 7 AND doc_id % 32 <> 6
+WITH e AS (SELECT doc_id, CASE WHEN doc_id % 16 = 7 THEN '' WHEN doc_id % 32 = 6 THEN '.lock' ELSE {_EXT_SQL} END AS e FROM documents)
+SELECT doc_id, CASE e WHEN '.py' THEN 'python' WHEN '.tsx' THEN 'typescript' WHEN '.jsx' THEN 'javascript' WHEN '.sh' THEN 'shell' WHEN '.md' THEN 'markdown' ELSE ltrim(e, '.') END AS language FROM e
 """)
 def language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _named(spark, sf_dir).where("doc_id % 16 <> 7 AND doc_id % 32 <> 6")
-    return rows.select("doc_id", fn.language_name(fn.extension_of(F.col("path"))).alias("language"))
+    return _named(spark, sf_dir).select("doc_id", fn.language_name(fn.extension_of(F.col("path"))).alias("language"))
 
 
 @query(rf"""

@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import shutil
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -18,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrata.fs import FileSystem
+from quillstrata.functions import text as fn
 from quillstrata.model import COLUMNS, SCHEMA, StoreError, check_dims, conform
 from quillstrata.operators import bm25, changes, symbols, vector
 from quillstrata.operators.structure import repo_stats
@@ -37,29 +38,25 @@ class ChunkStore:
     """Reads and writes chunk tables under a folder that the driver and the executors share."""
 
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root, self.fs = spark, str(root).rstrip("/"), FileSystem(spark)
 
-    # layout
+    # layout: all of it on the file system of the root, which may be an object store
 
-    def _folder(self, profile: str) -> Path:
-        return self.root / ("code_index" if check_profile(profile) == "default" else f"code_index__{profile}")
+    def _folder(self, profile: str) -> str:
+        return f"{self.root}/" + ("code_index" if check_profile(profile) == "default" else f"code_index__{profile}")
 
     def _pointer(self, profile: str) -> dict:
-        path = self._folder(profile) / "current.json"
-        return json.loads(path.read_text()) if path.exists() else {"repos": {}, "indexes": {}}
+        text = self.fs.read(f"{self._folder(profile)}/current.json")
+        return json.loads(text) if text else {"repos": {}, "indexes": {}}
 
     def _point(self, profile: str, state: dict) -> None:
-        path = self._folder(profile) / "current.json"
-        path.parent.mkdir(parents=True, exist_ok=True)
-        new = path.with_name(f"current-{uuid.uuid4().hex}.tmp")
-        new.write_text(json.dumps(state))
-        new.replace(path)  # atomic
+        self.fs.replace(f"{self._folder(profile)}/current.json", json.dumps(state))
 
     def exists(self, profile: str = "default") -> bool:
-        return (self._folder(profile) / "current.json").exists()
+        return self.fs.exists(f"{self._folder(profile)}/current.json")
 
     def list_profiles(self) -> list[str]:
-        found = [p.parent.name for p in self.root.glob("code_index*/current.json")]
+        found = [n for n in self.fs.names(self.root) if n.startswith("code_index") and self.fs.exists(f"{self.root}/{n}/current.json")]
         return sorted("default" if n == "code_index" else n.removeprefix("code_index__") for n in found)
 
     def chunks(self, profile: str = "default", repo: str | list[str] | None = None) -> DataFrame:
@@ -68,7 +65,7 @@ class ChunkStore:
         paths = [p for r, p in sorted(self._pointer(profile)["repos"].items()) if wanted is None or r in wanted]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*(str(self._folder(profile) / p) for p in paths))
+        return self.spark.read.schema(SCHEMA).parquet(*(f"{self._folder(profile)}/{p}" for p in paths))
 
     # changes
 
@@ -76,15 +73,16 @@ class ChunkStore:
         """The repos' rows are ``rows`` from now on. One job writes all of them, a folder for each repo, then the pointer
         moves. A repo without rows leaves the table."""
         state, name = self._pointer(profile), f"data/{uuid.uuid4().hex}"
-        folder = self._folder(profile) / name
+        folder = f"{self._folder(profile)}/{name}"
         if rows is not None:
             part = F.md5("repo").alias("part")
-            # rows lie by repo, file and line, so that statistics of row groups prune look-ups within a file
-            dealt = rows.select(*COLUMNS, part).repartition("repo", "file").sortWithinPartitions("part", "file", "start_line")
-            dealt.write.partitionBy("part").parquet(str(folder))
+            # rows lie by repo, file and line, so that statistics of row groups prune look-ups within a file; by ranges, so
+            # that a repo is in few files and a large one in many
+            dealt = rows.select(*COLUMNS, part).repartitionByRange("part", "file", "start_line").sortWithinPartitions("part", "file", "start_line")
+            dealt.write.partitionBy("part").parquet(folder)
         for repo in repos:
             own = f"{name}/part={hashlib.md5(repo.encode()).hexdigest()}"
-            if (self._folder(profile) / own).exists():
+            if self.fs.exists(f"{self._folder(profile)}/{own}"):
                 state["repos"][repo] = own
             else:
                 state["repos"].pop(repo, None)
@@ -133,7 +131,7 @@ class ChunkStore:
         self._keep(profile, repo, lambda rows: changes.without_stale_chunks(rows, modified, valid).select(*COLUMNS))
 
     def drop(self, profile: str) -> None:
-        shutil.rmtree(self._folder(profile), ignore_errors=True)
+        self.fs.delete(self._folder(profile))
 
     def compact(self, profile: str = "default") -> None:
         """Repos written anew in few files, and what no pointer names removed."""
@@ -142,31 +140,36 @@ class ChunkStore:
             self._replace(profile, repos, self.chunks(profile))
         state = self._pointer(profile)
         used = {*state["repos"].values(), *(x["path"] for x in state["indexes"].values())}
-        for folder in (*self._folder(profile).glob("data/*"), *self._folder(profile).glob("index/*")):
-            own = str(folder.relative_to(self._folder(profile)))
-            if not any(u == own or u.startswith(own + "/") for u in used):
-                shutil.rmtree(folder, ignore_errors=True)
+        for kind in ("data", "index"):
+            for name in self.fs.names(f"{self._folder(profile)}/{kind}"):
+                own = f"{kind}/{name}"
+                if not any(u == own or u.startswith(own + "/") for u in used):
+                    self.fs.delete(f"{self._folder(profile)}/{own}")
 
     # indexes
 
-    def build_text_index(self, profile: str = "default", buckets: int = 64) -> str | None:
-        """Postings with positions, partitioned by a hash of the term. Its format's version, or None without a table."""
+    def build_text_index(self, profile: str = "default") -> str | None:
+        """Postings with positions, partitioned by a hash of the term, and each repo's number of chunks and of tokens. Its
+        format's version, or None without a table."""
         if not self.exists(profile):
             return None
-        name = f"index/{uuid.uuid4().hex}"
-        rows = bm25.postings(self.chunks(profile)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(str(self._folder(profile) / name))
+        rows = self.chunks(profile)
+        sums = rows.groupBy("repo").agg(F.count("*").alias("n"), F.sum(F.size(fn.tokens(F.col("text")))).alias("tokens")).collect()  # a row for each repo
+        name, buckets = f"index/{uuid.uuid4().hex}", max(16, sum(r.n for r in sums) // 20_000)
+        listed = bm25.postings(rows, "repo", "file", "start_line").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        # a frequent term is dealt out by chunks too; within a file rows lie by term, so that row groups are pruned
+        listed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self._folder(profile)}/{name}")
         state = self._pointer(profile)
-        state["indexes"]["text"] = {"path": name, "buckets": buckets, "version": "2"}
+        state["indexes"]["text"] = {"path": name, "buckets": buckets, "version": "3", "sums": {r.repo: [r.n, r.tokens] for r in sums}}
         self._point(profile, state)
-        return "2"
+        return "3"
 
     def postings_of(self, terms: list[str], profile: str = "default") -> DataFrame | None:
         """Postings of some terms: only their buckets are read. None if there is no index of the present version."""
         index = self._pointer(profile)["indexes"].get("text")
-        if not index:
+        if not index or index["version"] != "3":
             return None
-        rows = self.spark.read.parquet(str(self._folder(profile) / index["path"]))
+        rows = self.spark.read.parquet(f"{self._folder(profile)}/{index['path']}")
         marks = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(index["buckets"])).alias("b")).distinct().collect()]
         return rows.where(F.col("bucket").isin([int(b) for b in marks]) & F.col("term").isin(terms)).drop("bucket")
 
@@ -178,7 +181,7 @@ class ChunkStore:
             return None
         indexed, centres = vector.build_cells(rows, n)
         name = f"index/{uuid.uuid4().hex}"
-        indexed.write.partitionBy("cell").parquet(str(self._folder(profile) / name))
+        indexed.repartition("cell").write.partitionBy("cell").parquet(f"{self._folder(profile)}/{name}")
         state = self._pointer(profile)
         state["indexes"]["vector"] = {"path": name, "centres": centres}
         self._point(profile, state)
@@ -192,13 +195,36 @@ class ChunkStore:
         check_dims(rows, len(query))
         index = self._pointer(profile)["indexes"].get("vector")
         if probes and index and repo is None:
-            cells = self.spark.read.parquet(str(self._folder(profile) / index["path"]))
+            cells = self.spark.read.parquet(f"{self._folder(profile)}/{index['path']}")
             return vector.cell_search(cells, index["centres"], query, limit, probes, metric=metric)
         return vector.vector_search(rows, query, limit, metric=metric)
 
+    def probes(self, profile: str = "default") -> int | None:
+        """How many cells a search of this table should read; None where it has no index and is searched as it is."""
+        index = self._pointer(profile)["indexes"].get("vector")
+        return vector.n_probes(len(index["centres"])) if index else None
+
     def search_text(self, query: str, limit: int = 30, repo: str | None = None, profile: str = "default") -> DataFrame:
-        found = bm25.bm25(self.chunks(profile, repo), query)
-        return found.orderBy(F.desc(F.round("score", 6)), "repo", "file", "start_line").limit(limit)
+        """Chunks with their score, best first. With an index of the present version, its terms' postings are ranked and no
+        text is read but that of the ``limit`` results; else all texts are scanned."""
+        order = [F.desc(F.round("score", 6)), "repo", "file", "start_line"]
+        best = self.ranked_text(query, limit, repo, profile)
+        if best is None:
+            return bm25.bm25(self.chunks(profile, repo), query).orderBy(*order).limit(limit)
+        rows = best.collect()  # limit rows, whose chunks are then looked up where they lie
+        scores = self.spark.createDataFrame([(r.id, r.score) for r in rows], "id string, score double").coalesce(1)
+        near = self.chunks(profile, sorted({r.repo for r in rows}) if rows else []).where(F.col("file").isin(sorted({r.file for r in rows})) & F.col("id").isin([r.id for r in rows]))
+        return near.join(F.broadcast(scores), "id").select(*COLUMNS, "score").orderBy(*order)
+
+    def ranked_text(self, query: str, limit: int | None, repo: str | None = None, profile: str = "default") -> DataFrame | None:
+        """(id, repo, file, start_line, score) by the stored postings, all without a limit; None without such an index."""
+        terms, _ = bm25.terms_of(query)
+        found = self.postings_of(terms, profile) if terms else None
+        if found is None:
+            return None
+        sums = self._pointer(profile)["indexes"]["text"]["sums"]
+        n, tokens = (sum(v[k] for r, v in sums.items() if repo in (None, r)) for k in (0, 1))
+        return bm25.ranked(found if repo is None else found.where(F.col("repo") == repo), query, n, tokens / max(1, n), limit)
 
     def search_symbol(self, name: str, repo: str | None = None, file: str | None = None, limit: int = 10, profile: str = "default") -> DataFrame:
         return symbols.symbol_search(self.chunks(profile, repo), name, repo, file, limit)

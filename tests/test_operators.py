@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -99,7 +100,7 @@ def test_postings_and_phrases(chunks):
     index = bm25.postings(chunks)
     rows = {(r.id, r.term): (r.tf, r.positions, r.len) for r in index.collect()}
     assert rows["1", "red"] == (2, [0, 2], 3) and ("5", "") not in rows
-    assert [(r.id, r.at) for r in bm25.phrase(index, ["red", "blue", "green"]).collect()] == [("6", 1)]
+    assert [(r.id, r.at) for r in bm25.phrase_positions(chunks, ["red", "blue", "green"]).collect()] == [("6", 1)]
 
 
 def test_symbol_tiers(chunks):
@@ -133,7 +134,7 @@ def test_vector(spark):
     for bad in ([], [float("nan")] * 8):
         with pytest.raises(StoreError):
             vector.distance(F.col("vector"), bad)
-    assert [vector.n_cells(n) for n in (10, 10_000, 10**9)] == [16, 100, 512]
+    assert [vector.n_cells(n) for n in (10, 10_000, 10**9)] == [16, 100, 4000]
 
 
 def test_cells_have_high_recall(spark, sf_dir):
@@ -288,3 +289,41 @@ def test_backends(spark):
         create_backend("nothing")
     rows = embed_chunks(spark.createDataFrame([(str(i), f"text {i}") for i in range(100)], "id string, text string"), b).collect()
     assert all(np.allclose(r.vector, b.embed_query(r.text), atol=1e-6) for r in rows)
+
+
+def test_http_backend_checks_the_answer():
+    backend = HttpBackend("m", post=lambda texts: [[1.0]] * (len(texts) - 1), wait=lambda s: None, check=False)
+    with pytest.raises(ValueError, match="1 vectors for 2 texts"):
+        backend.embed_documents(["a", "b"])
+
+
+def test_legs_that_fail_or_hang_are_left_out(spark, chunks):
+    rows = conform(chunks)
+    files = rows.select("repo", "file", "text")
+    legs = fusion.legs_of(rows, files, "red")
+    said: list[str] = []
+    want = [tuple(r) for r in fusion.run_apart(spark, legs, "red", say=said.append).collect()]
+    assert want and not said
+    lazy = [r.start_line for r in fusion.hybrid_search(rows, files, "red").collect()]
+    assert [r.start_line for r in fusion.run_apart(spark, legs, "red").collect()] == lazy
+
+    def broken():
+        raise ValueError("no index")
+
+    def slow():
+        time.sleep(30)
+        return legs["fts"]()
+
+    some = fusion.run_apart(spark, {**legs, "semantic": broken, "fts": slow}, "red", seconds={"fts": 0.2, "ripgrep": 60.0, "semantic": 60.0}, say=said.append).collect()
+    assert some and len(said) == 2 and "semantic" in " ".join(said) and "fts" in " ".join(said)
+    assert all("fts" not in r.sources for r in some)
+    with pytest.raises(ValueError):
+        fusion.run_apart(spark, {"semantic": broken}, "red")
+
+
+def test_reranking_by_a_model_leaves_results_alone_if_it_fails():
+    rows = [{"text": t, "rerank_score": 0.0} for t in ("a", "bbb", "cc")]
+    assert [r["text"] for r in fusion.reranked(rows, "q", lambda pairs: [len(t) for _, t in pairs], top=2)] == ["bbb", "a", "cc"]
+    said: list[str] = []
+    assert fusion.reranked(rows, "q", lambda pairs: [1.0], say=said.append) == rows and said
+    assert fusion.reranked(rows, "q", lambda pairs: 1 / 0, say=said.append) == rows and len(said) == 2

@@ -48,7 +48,8 @@ def test_full_text_search_shuffles_one_row(stored):
     text = plan(df)
     assert shuffles(df) == 1 and "SinglePartition" in text  # the row of sums
     assert "TakeOrderedAndProject" in text and "ArrowEvalPython" not in text and "vector" not in text
-    assert shuffles(bm25.postings(stored)) == 0
+    assert shuffles(bm25.postings(stored)) == 1  # by term and chunk
+    assert shuffles(bm25.phrase_positions(stored, ["red", "green"])) == 0
 
 
 def test_vector_search_takes_the_top_without_a_sort(stored):

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from quillstrata import cli, config, indexing
 from quillstrata.catalog import Catalog
-from quillstrata.model import StoreError
+from quillstrata.model import StoreError, conform
 from quillstrata.operators.chunking import chunk_files
 from quillstrata.operators.embedding import HashBackend, embed_chunks
 from quillstrata.sources import files as sources
 from quillstrata.sources import git
 from quillstrata.store import ChunkStore
 from quillstrata.streaming import ingest
+from quillstrata.streaming.ingest import SCHEMA, apply_changes
 
 
 @pytest.fixture
@@ -52,7 +53,7 @@ def test_store(spark, store):
     with pytest.raises(StoreError):
         store.search_vector([1.0] * 8)
     assert store.search_vector(HashBackend(16).embed_query("return 1"), 3, "r").count() == 2
-    assert store.build_text_index() == "2" and store.postings_of(["one", "zzz"]).count() == 2 and store.build_vector_index() is None
+    assert store.build_text_index() == "3" and store.postings_of(["one", "zzz"]).count() == 2 and store.build_vector_index() is None
     store.delete_files("r", ["a.py"])
     assert store.stats()["repos"] == {"it's": 2} and store.postings_of(["one"]) is None
     store.compact()
@@ -272,3 +273,33 @@ def test_stream(spark, store, tmp_path):
     take()
     take()
     assert sorted((r.repo, r.file, r.symbol_name) for r in store.chunks().collect()) == [("r", "a.py", "three"), ("s", "c.md", "")]
+
+
+def test_full_text_search_from_the_index_is_that_of_the_scan(spark, tmp_path):
+    words = ["red", "green", "blue", "grey"]
+    rows = [("r%d" % (k % 3), f"f{k % 7}.py", " ".join(words[(k * j) % 4] for j in range(1, 2 + k % 9))) for k in range(60)]
+    made = conform(spark.createDataFrame([(f"i{k}", r, f, t, k, k) for k, (r, f, t) in enumerate(rows)], "id string, repo string, file string, text string, start_line int, end_line int"))
+    store = ChunkStore(spark, tmp_path / "s")
+    store.replace(["r0", "r1", "r2"], made)
+    for query in ("red", "green blue grey", '"red green" blue', '"grey grey"', "missing red", "missing", ""):
+        for repo in (None, "r1"):
+            scanned = [(r.id, round(r.score, 6)) for r in store.search_text(query, 10, repo).collect()]
+            store.build_text_index()
+            served = [(r.id, round(r.score, 6)) for r in store.search_text(query, 10, repo).collect()]
+            assert served == scanned
+            state = store._pointer("default")
+            store._point("default", {**state, "indexes": {}})
+    store.build_text_index()
+    best = store.ranked_text("red grey", 5)
+    text = best._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "text:string" not in text and "PartitionFilters: [bucket" in text
+
+
+def test_late_changes_of_a_stream_do_not_win(spark, tmp_path):
+    store, backend = ChunkStore(spark, tmp_path / "s"), HashBackend(8)
+    batch = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    apply_changes(store, batch(("r", "a.txt", "new", False, 5), ("r", "b.txt", "gone", True, 7)), backend)
+    apply_changes(store, batch(("r", "a.txt", "old", False, 3), ("r", "b.txt", "back", False, 6), ("r", "c.txt", "third", False, 1)), backend)
+    assert sorted(r.text for r in store.chunks().collect()) == ["new", "third"]
+    apply_changes(store, batch(("r", "a.txt", "newer", False, 6)), backend)
+    assert sorted(r.text for r in store.chunks().collect()) == ["newer", "third"]
