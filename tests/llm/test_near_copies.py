@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from quillstrata.llm import stages
+from quillstrata.llm import near_copies, simhash, stages
 
 
 def brute_first(rows: list[tuple]) -> set:
@@ -43,3 +43,29 @@ def test_near_dedup_finds_all_of_similarity_0_8(spark, table):
 def test_near_dedup_on_the_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert {r.doc_id for r in stages.near_dedup(spark, docs, sf_dir).collect()} == brute_first([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_components_of_many_blocks(spark, table, monkeypatch):
+    """A chain of copies, a cluster around one text, and texts that are only half alike, in blocks of a few texts."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    chain = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for k in range(40):
+        texts.append(" ".join(chain))
+        chain = [*chain[2:], *(rng.choice(words) for _ in range(2))]
+    base = [rng.choice(words) for _ in range(150)]
+    for k in range(60):
+        copy = list(base)
+        for _ in range(k % 5):
+            copy[rng.randrange(150)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute_first(rows)
+    assert 2 <= len(want) < 60
+    for block, heavy in ((300, 1 << 60), (1500, 8)):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        kept = stages.near_dedup(spark, table(texts), "")
+        assert {r.doc_id for r in kept.collect()} == want
