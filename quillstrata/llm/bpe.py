@@ -35,6 +35,8 @@ _LATER_N = r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00
 
 #: Pieces whose encoding is kept per worker in each of two generations; the older one is dropped when the newer is full.
 CACHE = 250_000
+#: Ids below which decoding is direct.
+RUN = 256
 
 #: The pattern over the first 256 code points, where the standard library's matcher is the faster one. No two
 #: alternatives that start with the same character change places, so the matches are the same.
@@ -188,11 +190,15 @@ class TreeBpe:
         return self.encode_both(text)[0]
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of ids, concatenated up a tree of halves; runs of up to 65,536 ids are leaves."""
-        if len(ids) <= 1 << 16:
-            return b"".join(map(self.bytes.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """Bytes of ids, concatenated up a tree of halves; runs of up to RUN ids are leaves."""
+
+        def up(start: int, end: int) -> bytes:
+            if end - start <= RUN:
+                return b"".join(map(self.bytes.__getitem__, ids[start:end]))
+            half = (start + end) // 2
+            return up(start, half) + up(half, end)
+
+        return up(0, len(ids))
 
 
 _coders: dict[tuple[str, str], TreeBpe] = {}
@@ -238,9 +244,11 @@ def bpe(text: Column, path: str, pattern: str, with_ids: bool = False) -> Column
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for each row; other columns are not read.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for each row; other columns are not read, so they may have any
+    name.
 
-    One row out per row in, repeated rows and null ids included; an empty table gives an empty one.
+    One row out per row in, repeated rows and null ids included; null and empty texts have no ids; an empty table gives an
+    empty one. Very long texts are encoded in whole; of tied merges the leftmost goes first.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     done = docs.select("doc_id", bpe(F.col("text"), path, pattern, with_ids).alias("_bpe"))

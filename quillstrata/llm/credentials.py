@@ -150,8 +150,9 @@ def _of_rank(rank: int) -> Callable[[Column], Column]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (base spans), base_sha256 and spans for each row; null texts count as empty.
 
-    Only doc_id and text are read. Repeated rows give repeated results; null ids are kept; an empty table gives an
-    empty one. Positions are code points, ends exclusive.
+    Only doc_id and text are read, so other columns may have any name. Repeated rows give repeated results; null ids are
+    kept; very long texts are scanned in whole; spans of one start are ordered by kind; an empty table gives an empty one.
+    Positions are code points, ends exclusive. A part complements another if they start within SCOPE of each other.
     """
     found = find_spans(docs)
     counts = [F.size(F.filter("base", _of_rank(r))).cast("bigint").alias(f"n_{k}") for r, k in enumerate(BASE)]

@@ -152,7 +152,11 @@ def personal(text: Column) -> Column:
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
-    """doc_id and FIELDS for each row; other columns are not read. Repeated rows give repeated results."""
+    """doc_id and FIELDS for each row; other columns are not read, so they may have any name.
+
+    Null and empty texts have no spans; null ids stay null; repeated rows give repeated results; very long texts are read in
+    whole; spans of one start are ordered by kind; an empty table gives an empty one.
+    """
     done = docs.select("doc_id", personal(F.col("text")).alias("_pii"))
     return done.select("doc_id", *(F.col(f"_pii.{k}").alias(k) for k in FIELDS))
 

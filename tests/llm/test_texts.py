@@ -59,6 +59,14 @@ def test_bpe_query(spark, table, odd_texts, encoding):
     assert bpe.encode_documents(table([]), BPE, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_decodes_up_a_tree(encoding):
+    own = bpe.coder(BPE, public_tokenizers.PATTERN)
+    text = "Größe of many words, 12 and 東京. " * 9000
+    ids = own.encode(text)
+    assert len(ids) > 1 << 16 and ids == encoding.encode_ordinary(text) and own.decode(ids) == text.encode()
+    assert own.decode([]) == b""
+
+
 def brute_rules(text: str | None) -> tuple:
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -92,6 +100,27 @@ def test_repeats_against_all_substrings(symbols):
     assert repetition.repeat_lengths(ids).tolist() == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60))
+def test_both_ways_to_common_prefixes_agree(symbols):
+    number: dict = {}
+    ids = np.array([number.setdefault(s, len(number)) for s in symbols], np.int64)
+    if len(ids) > 1:
+        one, other = repetition.prefixes_by_tables(ids), repetition.prefixes_by_scan(ids)
+        assert [x.tolist() for x in one] == [x.tolist() for x in other]
+
+
+def test_the_method_rejects_what_base_rules_keep(spark, table):
+    clean = " ".join(f"w{i}" for i in range(900))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [clean, f"{passage} {clean} {passage}", " ".join(f"x{i} " * 5 for i in range(12)), " ".join(f"{passage} c{k}" for k in range(1)) + clean]
+    rows = {r.doc_id: r for r in repetition.quality_report(table(texts)).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert [rows[k].kept for k in range(4)] == [True, False, False, True]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (1847, 7628)")
+    assert [(r.base_failed, r.kept) for r in repetition.quality_report(docs).collect()] == [(False, False)] * 2
+
+
 def test_quality_keeps_clean_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
@@ -119,6 +148,84 @@ def test_main_text_of_made_pages():
     assert hit / (hit + missed) > 0.97 and hit / (hit + extra) > 0.97
 
 
+_ARTICLE = "<h1>Title of it</h1><p>" + "Some words of an article, which go on. " * 6 + "</p><p>" + "Another paragraph; with more text in it. " * 5 + "</p>"
+_BLOCKS = ["Title of it", ("Some words of an article, which go on. " * 6).strip(), ("Another paragraph; with more text in it. " * 5).strip()]
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>x</title><meta a=b><body><nav><a href=/>Home</a></nav><article>{_ARTICLE}</article><footer>(c) me</footer>",
+    f"<title>x</title><link rel=x><article>{_ARTICLE}</article><footer>(c) me</footer>",
+    f"<article>{_ARTICLE.replace('</p>', '')}</article><footer>(c) me</footer>",
+    f"<article>{_ARTICLE.replace('</p><p>', '<button>OK</p><p>')}</article><footer>(c) me</footer>",
+    f"<article><button>Share{_ARTICLE}</article><footer>(c) me</footer>",
+    f"<article>{_ARTICLE.replace('on. Some', 'on. <button>OK</button> Some')}</article><footer>(c) me</footer>",
+    f'<article><div data-x="<p>no</p>{"x" * 1_000_000}">{_ARTICLE}</div></article><footer>(c) me</footer>',
+    f"<article>{_ARTICLE.replace('Title', '<math><mi>Title</mi><annotation>z</annotation></math>')}</article><footer>(c) me</footer>",
+    f"<article>{_ARTICLE.replace('Title', '<svg><text>no</text></svg>Title')}</article><footer>(c) me</footer>",
+    f"<article><svg><path>{_ARTICLE}</article><footer>(c) me</footer>",
+    f"<article><video src=x>{_ARTICLE}</article><footer>(c) me</footer>",
+])
+def test_main_text_loses_nothing(page):
+    assert next(extract.extract_batch([page], extract.trained())) == _BLOCKS
+
+
+def test_main_text_of_deep_and_wide_pages():
+    deep = "<div>" * 5000 + f"<article>{_ARTICLE}</article>" + "</div>" * 5000
+    assert next(extract.extract_batch([deep], extract.trained()))[:3] == _BLOCKS
+    many = [f"Paragraph {i} of a long article, with some words of its own." for i in range(3000)]
+    wide = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>{p}</p>" for p in many) + "</article><footer>(c) me</footer>"
+    assert next(extract.extract_batch([wide], extract.trained())) == many
+
+
+def _shapes(n: int):
+    """The parents of the nodes of every tree of n nodes, in document order."""
+    import itertools
+
+    return (p for p in itertools.product(*(range(i) for i in range(1, n))) if all(p[i] in _open(p[:i]) for i in range(len(p))))
+
+
+def _open(parents) -> set:
+    """Nodes that may get a further child in document order: the last one and those above it."""
+    at, found = len(parents), set()
+    while True:
+        found.add(at)
+        if at == 0:
+            return found
+        at = parents[at - 1]
+
+
+@pytest.mark.parametrize("size", range(1, 7))
+def test_decoding_of_every_small_tree(size):
+    import itertools
+
+    class U:
+        def __init__(self):
+            self.below, self.runs = [], []
+
+    rng = np.random.default_rng(size)
+    for parents in _shapes(size):
+        units = [U() for _ in range(size)]
+        for k, p in enumerate(parents, 1):
+            units[p].below.append(k)
+        leaves = [k for k, u in enumerate(units) if not u.below]
+        for n, k in enumerate(leaves):
+            units[k].runs = [n]
+        under = [[n for n, leaf in enumerate(leaves) if _under(parents, leaf, k)] for k in range(size)]
+        for _ in range(6):
+            whole, some = rng.normal(size=size) * 2, rng.normal(size=size) * 2
+            costs = {}
+            for on in itertools.product([False, True], repeat=len(leaves)):
+                every, any_of = [all(on[n] for n in u) for u in under], [any(on[n] for n in u) for u in under]
+                costs[tuple(n for n, x in enumerate(on) if x)] = sum(np.logaddexp(0, -w if e else w) + np.logaddexp(0, -s if a else s) for w, s, e, a in zip(whole, some, every, any_of, strict=True))
+            assert tuple(extract.decode(units, whole, some)) == min(costs, key=costs.get)
+
+
+def _under(parents, node: int, top: int) -> bool:
+    while node > top:
+        node = parents[node - 1]
+    return node == top
+
+
 def test_decoding_is_consistent_and_best():
     """Against all labellings of small trees."""
     import itertools
@@ -199,6 +306,108 @@ def test_mixing(spark, table, odd_texts):
     assert mixing.mix_report(table([])).collect() == [] and mixing.mix_report(table([None, ""], sources=[None, None])).count() == 2
 
 
+def test_mixing_keeps_columns_that_have_its_own_names(spark):
+    rows = [(k, "a b c " * (k % 5), "s", k, "n", k, f"c{k}", 1.0) for k in range(40)] + [(None, None, None, 0, None, 0, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _source bigint, _null string, size bigint, _row string, target double")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    taken = {r.doc_id: r.taken for r in mixing.mix_report(docs).collect() if r.doc_id is not None}
+    found = [tuple(r) for r in mixed.collect()]
+    assert set(found) <= set(rows) and all(found.count(row) * len(row[1].split()) == taken[row[0]] for row in rows[:40])
+
+
+def test_equal_rows_are_rows_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a b", "s")] * 101 + [(None, "c d e", "t")] * 50, "doc_id bigint, text string, source string")
+    report = mixing.mix_report(docs).collect()
+    assert len(report) == 151
+    for source, size in (("s", 2), ("t", 3)):
+        own = [r for r in report if r["size"] == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * size
+    assert mixing.mixed_documents(docs).count() == sum(r.taken // r["size"] for r in report)
+
+
+def brute_dual(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The hinge-loss optimum by projected gradient steps on the dual, with the bias as a constant feature."""
+    z = np.column_stack((x, np.ones(len(x)))) * y[:, None]
+    gram, alpha = z @ z.T, np.zeros(len(y))
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    return z.T @ alpha
+
+
+def test_coordinate_descent_finds_the_dual_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 4))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=30) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 0.5, 1.5)
+    w = linear.fit_hinge([(np.arange(4), v) for v in x], y, 4, cost, passes=20_000, tol=1e-10)
+    assert np.allclose(w, brute_dual(x, y, cost), atol=1e-4)
+
+
+def test_quality_weights_are_log_count_ratios_times_the_machines(monkeypatch):
+    """The whole model against counts in a dictionary and the dual by projected gradient."""
+    texts = [("good plain words here", 1), ("good words and more", 1), ("plain good text", 1), ("bad # words", 0), ("bad ## text here", 0)]
+    sets = [set(np.concatenate([np.asarray(p) for p in nbsvm.ngrams(t)]).tolist()) for t, _ in texts]
+    ratio = {}
+    for g in set().union(*sets):
+        p, q = (sum(g in s for s, (_, v) in zip(sets, texts, strict=True) if v == label) for label in (1, 0))
+        ratio[g] = np.log((p + 1) / (3 + 2)) - np.log((q + 1) / (2 + 2))
+    names = sorted(g for g in ratio if ratio[g] != 0)
+    x = np.array([[ratio[g] * (g in s) for g in names] for s in sets])
+    y = np.array([1.0 if v else -1.0 for _, v in texts])
+    cost = np.where(y > 0, 5 / (2 * 3), 5 / (2 * 2)) / 100
+    want = brute_dual(x, y, cost)
+    exact = linear.fit_hinge
+    monkeypatch.setattr(nbsvm, "fit_hinge", lambda rows, sign, width, c: exact(rows, sign, width, c, passes=20_000, tol=1e-12))
+    model = nbsvm.fit(texts, least=1)
+    for s, (t, _) in zip(sets, texts, strict=True):
+        index = nbsvm.distinct(t, model.known, len(model.weights))
+        have = float(model.weights[index].sum()) + model.bias
+        assert abs(have - (sum(want[i] * ratio[g] for i, g in enumerate(names) if g in s) + want[-1])) < 1e-4
+
+
+def test_long_texts_are_one_text_to_the_classifier(monkeypatch):
+    text = "some words that, after a while, are repeated repeated. é東 " * 60 + "word " * 50
+    whole = set(np.concatenate([np.asarray(p) for p in nbsvm.ngrams(text)]).tolist())
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(nbsvm, "CHUNK", size)
+        assert set(np.concatenate([np.asarray(p) for p in nbsvm.ngrams(text)]).tolist()) == whole
+
+
+def test_language_machines_against_the_dual():
+    texts = [("the cat and the dog", "en"), ("the big house there", "en"), ("der Hund und die Katze", "de"), ("das große Haus dort", "de"), ("le chat et le chien", "fr"), ("la maison est grande", "fr")]
+    model = langid.fit(texts)
+    assert model.families == ["germanic", "romance"] and model.pairs == [("de", "en")]
+    cells = [langid.features(t) for t, _ in texts]
+    used = sorted(set(np.concatenate([i for i, _ in cells]).tolist()))
+
+    def dense(rows):
+        x = np.zeros((len(rows), len(used)))
+        for k, (index, value) in enumerate(rows):
+            x[k, np.searchsorted(used, index)] = value
+        return x
+
+    for column, (rows, labels) in enumerate([
+        (cells, [1.0 if lang in ("en", "de") else -1.0 for _, lang in texts]), (cells, [1.0 if lang == "fr" else -1.0 for _, lang in texts]), (cells[:4], [-1.0, -1.0, 1.0, 1.0]),
+    ]):
+        y = np.array(labels)
+        cost = 10.0 * np.array([len(y) / (2 * (y == v).sum()) for v in y])
+        want = brute_dual(dense(rows), y, cost)
+        have = np.array([float(model.weights[i, column] @ v) + model.bias[column] for i, v in rows])
+        assert np.allclose(have, dense(rows) @ want[:-1] + want[-1], atol=0.05)
+
+
+def test_every_language_is_learnt(spark, table):
+    texts = [f"{lang} text number {k} of " + "words " * 8 for lang in range(80) for k in range(6)] + ["ab"] * 12 + ["long words " * 600] * 12
+    langs = [f"l{lang}" for lang in range(80) for _ in range(6)] + ["short"] * 12 + ["long"] * 12
+    taken = langid.sample(table(texts, langs=langs), per_lang=3)
+    assert {lang for _, lang in taken} == set(langs)
+    assert max(Counter(lang for _, lang in taken).values()) <= 3
+    mixed = langid.sample(table(["x" * 10, "proper words " * 5] * 30, langs=["a"] * 60), per_lang=4)
+    assert all(len(t) >= 40 for t, _ in mixed)
+
+
 def test_hinge_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5))
