@@ -75,7 +75,7 @@ def timeline(commits: DataFrame, scope: DataFrame, hits: DataFrame, limit: int =
 
     Dates are compared as instants, so that offsets don't mislead.
     """
-    direct = commits.join(F.broadcast(scope.select("repo", "file").distinct()), ["repo", "file"], "left_semi").withColumn("relevance", F.lit("direct"))
+    direct = commits.join(scope.select("repo", "file").distinct(), ["repo", "file"], "left_semi").withColumn("relevance", F.lit("direct"))
     related = hits.withColumns({"file": F.lit(""), "relevance": F.lit("related")}).dropDuplicates(["repo", "sha"])
     columns = ["repo", "sha", "file", "author", "date", "message", "relevance"]
     every = direct.select(*columns).unionByName(related.select(*columns)).dropDuplicates(["repo", "sha", "file"])

@@ -21,27 +21,43 @@ def class_methods(chunks: DataFrame) -> DataFrame:
     return listed.select("repo", "class_name", F.transform("m", lambda x: x["name"]).alias("methods"))
 
 
+def file_counts(chunks: DataFrame) -> DataFrame:
+    """(repo, files): distinct files of each repo."""
+    return chunks.groupBy("repo").agg(F.countDistinct("file").cast("bigint").alias("files"))
+
+
+def language_counts(chunks: DataFrame) -> DataFrame:
+    """(repo, language, n): chunks of each language."""
+    return chunks.where("language <> ''").groupBy("repo", "language").agg(F.count("*").cast("bigint").alias("n"))
+
+
+def functions(chunks: DataFrame) -> DataFrame:
+    """(repo, file, line, name, signature) of each function that is in no class."""
+    rows = chunks.where("symbol_name <> '' AND chunk_type = 'function' AND parent_symbol = ''")
+    return rows.select("repo", "file", F.col("start_line").alias("line"), F.col("symbol_name").alias("name"), "signature")
+
+
+def classes(chunks: DataFrame) -> DataFrame:
+    """(repo, file, line, name, methods) of each class."""
+    rows = chunks.where("symbol_name <> '' AND chunk_type = 'class'").select("repo", F.col("symbol_name").alias("class_name"), "file", F.col("start_line").alias("line"))
+    joined = rows.join(class_methods(chunks), ["repo", "class_name"], "left")
+    return joined.select("repo", "file", "line", F.col("class_name").alias("name"), F.coalesce("methods", F.array().cast("array<string>")).alias("methods"))
+
+
 def repo_map(chunks: DataFrame) -> DataFrame:
     """One row per repo: name, files, languages (chunks by language), classes with their methods, functions.
 
     A row of the result lists all symbols of a repo: it is a report for reading. At the scale where that is too much,
-    ``list_symbols`` and ``class_methods`` give the same as rows.
+    ``file_counts``, ``language_counts``, ``classes`` and ``functions`` give the same as rows.
     """
-    base = chunks.groupBy("repo").agg(F.countDistinct("file").alias("files"))
-    by_language = chunks.where("language <> ''").groupBy("repo", "language").agg(F.count("*").alias("n"))
-    languages = by_language.groupBy("repo").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"))
-    entry = F.struct("file", F.col("start_line").alias("line"), F.col("symbol_name").alias("name"), "signature")
-    named = chunks.where("symbol_name <> ''")
-    functions = named.where("chunk_type = 'function' AND parent_symbol = ''").groupBy("repo").agg(F.sort_array(F.collect_list(entry)).alias("functions"))
-    classes = named.where("chunk_type = 'class'").select("repo", F.col("symbol_name").alias("class_name"), "file", "start_line")
-    with_methods = classes.join(class_methods(chunks), ["repo", "class_name"], "left")
-    empty = F.array().cast("array<string>")
-    listed = F.struct("file", F.col("start_line").alias("line"), F.col("class_name").alias("name"), F.coalesce("methods", empty).alias("methods"))
-    classes = with_methods.groupBy("repo").agg(F.sort_array(F.collect_list(listed)).alias("classes"))
-    every = base.join(languages, "repo", "left").join(classes, "repo", "left").join(functions, "repo", "left")
+    languages = language_counts(chunks).groupBy("repo").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"))
+    listed = lambda rows, last: rows.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("file", "line", "name", last))).alias("x"))
+    every = file_counts(chunks).join(languages, "repo", "left")
+    every = every.join(listed(classes(chunks), "methods").withColumnRenamed("x", "classes"), "repo", "left")
+    every = every.join(listed(functions(chunks), "signature").withColumnRenamed("x", "functions"), "repo", "left")
     return every.select(
         F.col("repo").alias("name"),
-        F.col("files").cast("bigint").alias("files"),
+        "files",
         F.coalesce("languages", F.create_map().cast("map<string,bigint>")).alias("languages"),
         F.coalesce("classes", F.array().cast(listed_type("methods array<string>"))).alias("classes"),
         F.coalesce("functions", F.array().cast(listed_type("signature string"))).alias("functions"),

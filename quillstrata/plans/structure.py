@@ -22,13 +22,12 @@ def repo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES} SELECT repo, lang AS language, count(*)::BIGINT AS n FROM f WHERE lang <> '' GROUP BY repo, lang")
 def repo_map_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.repo_map(_symbols(spark, sf_dir, files(spark, sf_dir)))
-    return rows.select(F.col("name").alias("repo"), F.explode("languages").alias("language", "n"))
+    return structure.language_counts(_symbols(spark, sf_dir, files(spark, sf_dir)))
 
 
 @query(f"WITH {FILES} SELECT repo, count(DISTINCT file)::BIGINT AS files FROM f GROUP BY repo")
 def repo_map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.repo_map(_symbols(spark, sf_dir, files(spark, sf_dir))).select(F.col("name").alias("repo"), "files")
+    return structure.file_counts(_symbols(spark, sf_dir, files(spark, sf_dir)))
 
 
 def _symbols(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
@@ -54,14 +53,24 @@ SELECT r_name AS class_name, coalesce(string_agg(n_name, ',' ORDER BY n_nationke
 FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name
 """)
 def class_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.repo_map(_geography(spark, sf_dir)).select(F.explode("classes").alias("c"))
-    return rows.select(F.col("c.name").alias("class_name"), F.array_join("c.methods", ",").alias("methods"))
+    return structure.classes(_geography(spark, sf_dir)).select(F.col("name").alias("class_name"), F.array_join("methods", ",").alias("methods"))
 
 
 @query("SELECT 'world' AS repo, 's' || s_nationkey AS file, s_name AS name, s_suppkey::BIGINT AS line FROM supplier")
 def repo_map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.repo_map(_geography(spark, sf_dir)).select("name", F.explode("functions").alias("f"))
-    return rows.select(F.col("name").alias("repo"), F.col("f.file").alias("file"), F.col("f.name").alias("name"), big("f.line").alias("line"))
+    return structure.functions(_geography(spark, sf_dir)).select("repo", "file", "name", big("line").alias("line"))
+
+
+@query("""
+SELECT 'world' AS name, (SELECT count(*) FROM region WHERE r_regionkey >= 0)::BIGINT AS classes, (SELECT count(DISTINCT 's' || s_nationkey) FROM supplier)::BIGINT + 2 AS files,
+  (SELECT string_agg(r_name || ':' || n, ',' ORDER BY r_regionkey) FROM (SELECT r_regionkey, r_name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL)) AS methods
+""")
+def repo_map_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one repo, whose lists are those of the fixed tables region and nation; functions are left out."""
+    chunks = _geography(spark, sf_dir).withColumn("symbol_name", F.when(F.col("chunk_type") == "function", "").otherwise(F.col("symbol_name")))
+    rows = structure.repo_map(chunks)
+    methods = F.array_join(F.transform(F.sort_array(F.transform("classes", lambda c: F.struct(c["line"], c["name"], F.size(c["methods"]).alias("n")))), lambda c: F.concat_ws(":", c["name"], c["n"])), ",")
+    return rows.select("name", big(F.size("classes")).alias("classes"), "files", methods.alias("methods"))
 
 
 _ROOTS = """r AS (SELECT DISTINCT 'site' AS repo, regexp_extract(url, '^[a-z]+://[^/?#]+') AS root FROM pages WHERE page_id % 2 = 0

@@ -129,15 +129,15 @@ def chunk_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)
-SELECT p_brand AS repo, 'f_' || p_partkey AS symbol_name, 'function' AS chunk_type, 'def f_' || p_partkey || '(size):' AS signature,
-       (k * 3 + 3)::BIGINT AS start_line, (k * 3 + 4)::BIGINT AS end_line, md5('def f_' || p_partkey || '(size):' || chr(10) || '    return ' || p_size) AS text_md5 FROM p
-UNION ALL SELECT DISTINCT p_brand, '', 'preamble', '', 1, 3, md5('import math') FROM part
+SELECT p_brand || '/' || p_partkey AS repo, 'f_' || p_partkey AS symbol_name, 'function' AS chunk_type, 'def f_' || p_partkey || '(size):' AS signature,
+       3::BIGINT AS start_line, 4::BIGINT AS end_line, md5('def f_' || p_partkey || '(size):' || chr(10) || '    return ' || p_size) AS text_md5 FROM part
+UNION ALL SELECT p_brand || '/' || p_partkey, 'Brand' || p_partkey, 'class', 'class Brand' || p_partkey || ':', 6, 7, md5('class Brand' || p_partkey || ':' || chr(10) || '    pass') FROM part
+UNION ALL SELECT p_brand || '/' || p_partkey, '', 'preamble', '', 1, 3, md5('import math') FROM part
 """)
 def chunk_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit("def f_"), F.col("p_partkey"), F.lit("(size):\n    return "), F.col("p_size"), F.lit("\n"))
-    listed = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("repo")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("b")))).alias("x"))
-    code = listed.select("repo", F.lit("m.py").alias("file"), F.concat(F.lit("import math\n\n"), F.array_join(F.transform("x", lambda s: s["b"]), "\n")).alias("text"))
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("import math\n\ndef f_"), key, F.lit("(size):\n    return "), F.col("p_size").cast("string"), F.lit("\n\nclass Brand"), key, F.lit(":\n    pass\n"))
+    code = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", key).alias("repo"), F.lit("m.py").alias("file"), text.alias("text"))
     found = chunk_files(code)
     return found.select("repo", "symbol_name", "chunk_type", "signature", big("start_line").alias("start_line"), big("end_line").alias("end_line"), F.md5("text").alias("text_md5"))
 
@@ -200,9 +200,11 @@ def classify_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FILES} SELECT tok AS term, count(*)::BIGINT AS tf, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({TOKENS}) AS tok FROM f) GROUP BY tok")
 def tokens_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = dealt(files(spark, sf_dir)).select("doc_id", fn.tokens(F.col("text")).alias("t"))
-    # terms are counted within each document first: the shuffle carries one row for a term of a document
-    counts = words.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return counts.groupBy("term").agg(big(F.sum("n")).alias("tf"), big(F.count("*")).alias("df"))
+    # a document lists all of its tokens, and each of them once more: one aggregation by term, whose partial sums leave no
+    # more rows to shuffle than a task has terms
+    listed = F.concat(F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("first"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("first"))))
+    each = words.select(F.explode(listed).alias("x")).select("x.*")
+    return each.groupBy("term").agg(big(F.count_if(F.col("first") == 0)).alias("tf"), big(F.sum("first")).alias("df"))
 
 
 @query(rf"""

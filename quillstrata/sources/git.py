@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 FORMAT = "%H%x00%an%x00%aI%x00%s"
 
 
-def _git(root: str, *arguments: str, timeout: int = 30) -> str | None:
+def _run(root: str, *arguments: str, given: bytes = b"", timeout: int = 30) -> bytes | None:
     try:
-        done = subprocess.run(["git", *arguments], cwd=root, capture_output=True, timeout=timeout)
+        done = subprocess.run(["git", *arguments], cwd=root, input=given, capture_output=True, timeout=timeout)
     except (OSError, subprocess.TimeoutExpired, ValueError):
         return None
-    return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None
+    return done.stdout if done.returncode == 0 else None
+
+
+def _git(root: str, *arguments: str, timeout: int = 30) -> str | None:
+    out = _run(root, *arguments, timeout=timeout)
+    return None if out is None else out.decode("utf-8", "replace")
 
 
 @dataclass(frozen=True)
@@ -74,10 +79,35 @@ def changed_files(spark: SparkSession, root: str, old: str, new: str) -> DataFra
     return None if text is None else parse_name_status(_rows(spark, text))
 
 
+def contents_at(root: str, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Contents of files (sha, path) that are there, from one git process."""
+    named = [w for w in wanted if "\n" not in w[1]]
+    out = _run(root, "cat-file", "--batch", given="".join(f"{sha}:{path}\n" for sha, path in named).encode()) or b""
+    found, at = {}, 0
+    for key in named:
+        end = out.find(b"\n", at)
+        if end < 0:
+            break
+        head = out[at:end].rsplit(b" ", 2)
+        at = end + 1
+        if len(head) == 3 and head[1] == b"blob":
+            size = int(head[2])
+            found[key] = out[at : at + size].decode("utf-8", "replace")
+            at += size + 1
+        elif len(head) == 3 and head[2].isdigit():
+            at += int(head[2]) + 1
+    return found
+
+
+def parents_of(root: str, shas: list[str]) -> dict[str, str]:
+    """The first parent of each commit that has one, from one git process."""
+    lines = (_git(root, "rev-list", "--no-walk=unsorted", "--parents", "--end-of-options", *shas) or "").splitlines() if shas else []
+    return {p[0]: p[1] for p in map(str.split, lines) if len(p) > 1}
+
+
 def content_at(root: str, sha: str, file: str) -> str | None:
-    return _git(root, "show", f"{sha}:{file}")
+    return contents_at(root, [(sha, file)]).get((sha, file))
 
 
 def parent_of(root: str, sha: str) -> str | None:
-    text = _git(root, "rev-parse", "--verify", f"{sha}^")
-    return text.strip() if text else None
+    return next(iter(parents_of(root, [sha]).values()), None)

@@ -52,10 +52,17 @@ def build_timeline(
     scoped = spark.createDataFrame([(r.repo, r.file) for r in scope], "repo string, file string")
     entries = history.timeline(commits, scoped, hits, 2 * limit).collect()
     old, new = [], []
-    for e in [e for e in entries if e.file][: history.MAX_DIFFS]:
-        parent = git.parent_of(roots[e.repo], e.sha)
-        before = git.content_at(roots[e.repo], parent, e.file) if parent else None
-        after = git.content_at(roots[e.repo], e.sha, e.file)
+    compared = [e for e in entries if e.file][: history.MAX_DIFFS]
+    parents, contents = {}, {}
+    for name in {e.repo for e in compared}:  # two git processes for each repo
+        own = [e for e in compared if e.repo == name]
+        up = git.parents_of(roots[name], [e.sha for e in own])
+        parents |= {(name, sha): parent for sha, parent in up.items()}
+        wanted = [(sha, e.file) for e in own for sha in (e.sha, up.get(e.sha)) if sha]
+        contents |= {(name, *key): text for key, text in git.contents_at(roots[name], wanted).items()}
+    for e in compared:
+        parent = parents.get((e.repo, e.sha))
+        before, after = contents.get((e.repo, parent, e.file)), contents.get((e.repo, e.sha, e.file))
         if parent and before is None and after is not None:
             continue  # the file has come from somewhere: all of it would look new
         key = f"{e.repo}\0{e.sha}"
