@@ -1,8 +1,8 @@
 """The chunk table on disk: one folder of Parquet versions for each profile, partitioned by repo.
 
 A change writes a new version beside the old one and then replaces the pointer file, so a reader never sees half of it and
-a crash leaves the old version in force. Repos that a change does not touch stay where they are: the pointer lists, for
-each repo, the folder that holds it.
+a crash leaves the old version in force. A repo lies in parts, by a hash of the file, about PART_CHUNKS chunks each; the
+pointer lists the folder of each part. Parts that a change does not touch stay where they are.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.fs import FileSystem
@@ -26,6 +26,8 @@ from quillstrata.operators.structure import repo_stats
 _NAME = re.compile(r"[a-z0-9][a-z0-9_-]*")
 #: From this number of chunks on, vectors are indexed by cells.
 INDEXED_FROM = 5000
+#: Chunks of a repo that lie in one part, once the table has been compacted.
+PART_CHUNKS = 100_000
 
 
 def check_profile(name: str) -> str:
@@ -62,84 +64,135 @@ class ChunkStore:
     def chunks(self, profile: str = "default", repo: str | list[str] | None = None) -> DataFrame:
         """The table, or some repos of it; empty if there is none. Only the folders of the repos asked for are read."""
         wanted = {repo} if isinstance(repo, str) else None if repo is None else set(repo)
-        paths = [p for r, p in sorted(self._pointer(profile)["repos"].items()) if wanted is None or r in wanted]
+        return self._read(profile, [p for r, v in sorted(self._pointer(profile)["repos"].items()) if wanted is None or r in wanted for p in v["parts"].values()])
+
+    def _read(self, profile: str, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*(f"{self._folder(profile)}/{p}" for p in paths))
 
     # changes
 
-    def _replace(self, profile: str, repos: list[str], rows: DataFrame | None) -> None:
-        """The repos' rows are ``rows`` from now on. One job writes all of them, a folder for each repo, then the pointer
-        moves. A repo without rows leaves the table."""
+    def _number(self, sizes: dict[str, int]) -> Column:
+        """The part that a row (repo, file) lies in; ``sizes``: how many parts each repo has, one if it is not there."""
+        parts = F.lit(1)
+        if many := {r: n for r, n in sizes.items() if n > 1}:
+            parts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in many.items() for x in pair)), F.col("repo")), F.lit(1))
+        return F.pmod(F.xxhash64("file"), parts).cast("int")
+
+    def _rewrite(self, profile: str, touched: dict[str, list[int]], rows: DataFrame | None, sizes: dict[str, int]) -> None:
+        """The parts ``touched`` hold ``rows`` from now on. One job writes all of them, then the pointer moves. A repo without
+        rows leaves the table."""
         state, name = self._pointer(profile), f"data/{uuid.uuid4().hex}"
         folder = f"{self._folder(profile)}/{name}"
         if rows is not None:
-            part = F.md5("repo").alias("part")
+            part = F.concat_ws("-", F.md5("repo"), self._number(sizes).cast("string")).alias("part")
             # rows lie by repo, file and line, so that statistics of row groups prune look-ups within a file; by ranges, so
-            # that a repo is in few files and a large one in many
+            # that a part is in few files and a large one in many. Filters on the names and kinds of symbols skip row groups
+            # by dictionaries and Bloom filters.
             dealt = rows.select(*COLUMNS, part).repartitionByRange("part", "file", "start_line").sortWithinPartitions("part", "file", "start_line")
-            dealt.write.partitionBy("part").parquet(folder)
-        for repo in repos:
-            own = f"{name}/part={hashlib.md5(repo.encode()).hexdigest()}"
-            if self.fs.exists(f"{self._folder(profile)}/{own}"):
+            writer = dealt.write.partitionBy("part")
+            for column in ("id", "symbol_name", "chunk_type"):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer.parquet(folder)
+        there = set(self.fs.names(folder)) if rows is not None else set()
+        for repo, numbers in touched.items():
+            own = state["repos"].get(repo)
+            if own is None or own["of"] != sizes.get(repo, 1):
+                own = {"of": sizes.get(repo, 1), "parts": {}}
+            for n in numbers:
+                part = f"part={hashlib.md5(repo.encode()).hexdigest()}-{n}"
+                own["parts"].pop(str(n), None)
+                if part in there:
+                    own["parts"][str(n)] = f"{name}/{part}"
+            if own["parts"]:
                 state["repos"][repo] = own
             else:
                 state["repos"].pop(repo, None)
         state["indexes"] = {}  # they are of the version before
         self._point(profile, state)
 
-    def _repos_of(self, rows: DataFrame) -> list[str]:
-        return [r.repo for r in rows.select("repo").distinct().collect()]  # one name for each repo
+    def _sizes(self, profile: str) -> dict[str, int]:
+        return {r: v["of"] for r, v in self._pointer(profile)["repos"].items()}
+
+    def _touched(self, rows: DataFrame, sizes: dict[str, int]) -> dict[str, list[int]]:
+        """The parts in which rows (repo, file) lie: one line for each part of a repo."""
+        found: dict[str, list[int]] = {}
+        for r in rows.select("repo", self._number(sizes).alias("n")).distinct().collect():
+            found.setdefault(r.repo, []).append(r.n)
+        return found
+
+    def _parts(self, profile: str, touched: dict[str, list[int]]) -> DataFrame:
+        repos = self._pointer(profile)["repos"]
+        return self._read(profile, [repos[r]["parts"][str(n)] for r, ns in sorted(touched.items()) if r in repos for n in sorted(ns) if str(n) in repos[r]["parts"]])
 
     def upsert(self, chunks: DataFrame, profile: str = "default") -> None:
-        """Rows of new ids are added, rows of known ids replaced. No rows, no change."""
+        """Rows of new ids are added, rows of known ids replaced. No rows, no change. Only the parts that new rows fall in are
+        written anew: an id is made of its repo and file, so a known one lies there."""
         new = conform(chunks)
         self._check(new, profile)
-        repos = self._repos_of(new)
-        if repos:
-            self._replace(profile, repos, changes.upsert(self.chunks(profile, repos), new, "id"))
+        sizes = self._sizes(profile)
+        touched = self._touched(new, sizes)
+        if touched:
+            self._rewrite(profile, touched, changes.upsert(self._parts(profile, touched), new, "id"), sizes)
 
     def replace(self, repos: list[str], chunks: DataFrame, profile: str = "default") -> None:
         """All rows of the repos at once, so that nothing of an earlier state survives."""
         new = conform(chunks).where(F.col("repo").isin(repos))
         if set(self._pointer(profile)["repos"]) - set(repos):
             self._check(new, profile, but=repos)
-        self._replace(profile, repos, new)
+        sizes = self._sizes(profile)
+        self._rewrite(profile, {r: list(range(sizes.get(r, 1))) for r in repos}, new, sizes)
+
+    def exchange(self, files: DataFrame, chunks: DataFrame, profile: str = "default") -> None:
+        """The old chunks of ``files`` (repo, file) go and ``chunks``, which are of these files, come, in one version."""
+        new, sizes = conform(chunks), self._sizes(profile)
+        touched = self._touched(files, sizes)
+        if touched:
+            self._check(new, profile, but=[])
+            kept = self._parts(profile, touched).join(files.select("repo", "file"), ["repo", "file"], "left_anti").select(*COLUMNS)
+            self._rewrite(profile, touched, kept.unionByName(new), sizes)
 
     def _check(self, new: DataFrame, profile: str, but: list[str] = []) -> None:  # noqa: B006
         first = new.where("vector IS NOT NULL").select(F.size("vector").alias("n")).head()
         if first:
             check_dims(self.chunks(profile, [r for r in self._pointer(profile)["repos"] if r not in but]), first.n)
 
-    def _keep(self, profile: str, repo: str, rule: Callable[[DataFrame], DataFrame]) -> None:
-        if repo in self._pointer(profile)["repos"]:
-            self._replace(profile, [repo], rule(self.chunks(profile, repo)))
+    def _keep(self, profile: str, files: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> None:
+        """The parts that hold ``files`` (repo, file) keep what ``rule`` makes of their rows."""
+        sizes = self._sizes(profile)
+        touched = {r: ns for r, ns in self._touched(files, sizes).items() if r in sizes}
+        if touched:
+            self._rewrite(profile, touched, rule(self._parts(profile, touched)).select(*COLUMNS), sizes)
 
     def delete_repo(self, repo: str, profile: str = "default") -> None:
-        if repo in self._pointer(profile)["repos"]:
-            self._replace(profile, [repo], None)
+        sizes = self._sizes(profile)
+        if repo in sizes:
+            self._rewrite(profile, {repo: list(range(sizes[repo]))}, None, sizes)
 
     def delete_files(self, repo: str, files: list[str], profile: str = "default") -> None:
-        gone = self.spark.createDataFrame([(f,) for f in files], "file string")
-        self._keep(profile, repo, lambda rows: rows.join(gone, "file", "left_anti").select(*COLUMNS))
+        gone = self.spark.createDataFrame([(repo, f) for f in files], "repo string, file string")
+        self._keep(profile, gone, lambda rows: rows.join(gone, ["repo", "file"], "left_anti"))
 
     def delete_stale_files(self, repo: str, current: DataFrame, profile: str = "default") -> None:
-        self._keep(profile, repo, lambda rows: changes.without_stale_files(rows, current).select(*COLUMNS))
+        stale = self.chunks(profile, repo).select("repo", "file").distinct().join(current.select("repo", "file"), ["repo", "file"], "left_anti")
+        self._keep(profile, stale, lambda rows: changes.without_stale_files(rows, current))
 
     def delete_stale_chunks(self, repo: str, modified: DataFrame, valid: DataFrame, profile: str = "default") -> None:
-        self._keep(profile, repo, lambda rows: changes.without_stale_chunks(rows, modified, valid).select(*COLUMNS))
+        self._keep(profile, modified.where(F.col("repo") == repo), lambda rows: changes.without_stale_chunks(rows, modified, valid))
 
     def drop(self, profile: str) -> None:
         self.fs.delete(self._folder(profile))
 
     def compact(self, profile: str = "default") -> None:
-        """Repos written anew in few files, and what no pointer names removed."""
-        repos = list(self._pointer(profile)["repos"])
-        if repos:
-            self._replace(profile, repos, self.chunks(profile))
+        """Repos that have outgrown their parts dealt out anew, PART_CHUNKS chunks each, and what no pointer names removed."""
+        rows, now = self.chunks(profile), self._sizes(profile)
+        wanted = {r.repo: 1 + r["count"] // PART_CHUNKS for r in rows.groupBy("repo").count().collect()}  # a row for each repo
+        grown = {r: n for r, n in wanted.items() if n >= 2 * now[r] or 2 * n <= now[r]}
+        if grown:
+            self._rewrite(profile, {r: list(range(n)) for r, n in grown.items()}, self.chunks(profile, list(grown)), grown)
         state = self._pointer(profile)
-        used = {*state["repos"].values(), *(x["path"] for x in state["indexes"].values())}
+        used = {*(p for v in state["repos"].values() for p in v["parts"].values()), *(x["path"] for x in state["indexes"].values())}
         for kind in ("data", "index"):
             for name in self.fs.names(f"{self._folder(profile)}/{kind}"):
                 own = f"{kind}/{name}"

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillstrata.model import conform
 from quillstrata.operators.chunking import chunk_files
 from quillstrata.operators.embedding import Backend, embed_chunks
 from quillstrata.store import ChunkStore
@@ -42,11 +41,8 @@ def apply_changes(store: ChunkStore, batch: DataFrame, backend: Backend, profile
     """
     known = applied(store, profile)
     last = latest(batch).join(known.withColumnRenamed("seq", "had"), ["repo", "file"], "left").where("had IS NULL OR seq >= had").drop("had")
-    repos = [r.repo for r in last.select("repo").distinct().collect()]  # one name for each repo
-    if repos:
-        new = embed_chunks(chunk_files(last.where("NOT coalesce(deleted, false)")), backend)
-        kept = store.chunks(profile, repos).join(last.select("repo", "file"), ["repo", "file"], "left_anti")
-        store.replace(repos, conform(kept).unionByName(conform(new)), profile)
+    if not last.isEmpty():
+        store.exchange(last, embed_chunks(chunk_files(last.where("NOT coalesce(deleted, false)")), backend), profile)
         path, name = f"{store.root}/stream-{profile}", uuid.uuid4().hex
         numbers = known.unionByName(last.select("repo", "file", "seq")).groupBy("repo", "file").agg(F.max("seq").alias("seq"))
         numbers.write.parquet(f"{path}/{name}")

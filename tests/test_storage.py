@@ -303,3 +303,25 @@ def test_late_changes_of_a_stream_do_not_win(spark, tmp_path):
     assert sorted(r.text for r in store.chunks().collect()) == ["new", "third"]
     apply_changes(store, batch(("r", "a.txt", "newer", False, 6)), backend)
     assert sorted(r.text for r in store.chunks().collect()) == ["newer", "third"]
+
+
+def test_changes_write_only_the_parts_they_touch(spark, tmp_path, monkeypatch):
+    import quillstrata.store as module
+
+    monkeypatch.setattr(module, "PART_CHUNKS", 10)
+    store = ChunkStore(spark, tmp_path / "s")
+    made = conform(spark.createDataFrame([(f"i{k}", "r", f"f{k}.py", "x", k) for k in range(60)], "id string, repo string, file string, text string, start_line int"))
+    store.replace(["r"], made)
+    store.compact()
+    before = store._pointer("default")["repos"]["r"]
+    assert before["of"] == 7 and store.chunks().count() == 60
+    store.upsert(made.where("file = 'f3.py'").withColumn("text", F.lit("new")))
+    after = store._pointer("default")["repos"]["r"]
+    assert sum(before["parts"][n] != after["parts"][n] for n in before["parts"]) == 1
+    store.delete_files("r", ["f4.py", "f5.py"])
+    store.delete_stale_files("r", made.where("start_line <> 6"))
+    store.exchange(made.where("start_line = 7"), made.where("start_line = 7").withColumn("id", F.lit("again")))
+    rows = {r.id: r.text for r in store.chunks().collect()}
+    assert set(rows) == {f"i{k}" for k in range(60) if k not in (4, 5, 6, 7)} | {"again"} and rows["i3"] == "new"
+    store.delete_repo("r")
+    assert store.chunks().count() == 0 and store.stats() == {"total": 0, "repos": {}}
