@@ -63,5 +63,19 @@ def truncate_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_named(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns that ``named`` (key, copies, others; one row a key) has of each key, copies left out.
+
+    Keys of many rows, more than one in 10,000 of all and 1,000 at least, would each fall to one task: as there are fewer
+    than 10,000 of them, they are broadcast, and their rows stay where they are. All others meet by shuffle.
+    """
+    hot = F.col("copies") > max(1000, rows.count() // 10_000)
+    few = named.where(hot).drop("copies").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(few), key, "left")
+    met = marked.where("_hot").drop("_hot")
+    rest = marked.where("_hot IS NULL").select(*rows.columns).join(named.where(~hot).drop("copies"), key)
+    return met.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.llm import simhash
-from quillstrata.llm.common import spread, truncate_lineage, words_of
+from quillstrata.llm.common import join_named, spread, truncate_lineage, words_of
 
 SHINGLE = 5
 #: The similarity, as a fraction.
@@ -306,7 +306,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text_hash = simhash.text_hash(F.col("text"))
     marked = truncate_lineage(spread(docs.select("doc_id", "text")).select("doc_id", text_hash.alias("_h"), sketch(F.col("text")).alias("k")))
-    nodes = marked.groupBy(F.col("k.node").alias("node")).agg(F.min("_h").alias("_h"), F.first("k.n").alias("n"))
+    nodes = marked.groupBy(F.col("k.node").alias("node")).agg(F.min("_h").alias("_h"), F.first("k.n").alias("n"), F.count("*").alias("copies"))
     nodes = truncate_lineage(nodes)
     keyed = marked.select("k.node", "k.fp", "k.n", "k.bands").dropDuplicates(["node"]).select("node", "fp", "n", F.explode("bands").alias("key"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key").select("key", "node", "fp", "n")
@@ -327,5 +327,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
         sets = own.join(split.select("_h"), "_h", "left_semi").dropDuplicates(["_h"]).join(split, "_h").select("node", hashes(F.col("text")).alias("hashes"))
         whole = across_blocks(hot, truncate_lineage(sets), edges, keyed)
         found = found.join(split.select("node"), "node", "left_anti").unionByName(whole)
-    named = nodes.join(found, "node", "left").select("node", F.coalesce("least", "node").alias("root"))
-    return truncate_lineage(marked.select("doc_id", "_h", F.col("k.node").alias("node")).join(named, "node").select("doc_id", "_h", "root"))
+    named = truncate_lineage(nodes.join(found, "node", "left").select("node", "copies", F.coalesce("least", "node").alias("root")))
+    return truncate_lineage(join_named(marked.select("doc_id", "_h", F.col("k.node").alias("node")), named, "node").select("doc_id", "_h", "root"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import spread, truncate_lineage, words_of
+from quillstrata.llm.common import join_named, spread, truncate_lineage, words_of
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 _BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
@@ -261,13 +261,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     results; very long texts are read in whole; an empty table gives an empty one.
     """
     marked = truncate_lineage(spread(docs.select("doc_id", "text")).select("doc_id", simhash(F.col("text")).alias("fp")))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = truncate_lineage(nodes)
+    nodes = truncate_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     found = components(links(nodes.select("fp")))
-    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("least", "fp").alias("root"))
+    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", "copies", F.coalesce("least", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = truncate_lineage(placed.join(least, "root").select("fp", "copies", "component_id"))
+    return join_named(marked, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:

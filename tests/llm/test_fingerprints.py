@@ -140,6 +140,15 @@ def test_heavy_groups_are_dealt_again(spark, monkeypatch):
     assert want == set(reached.items())
 
 
+def test_hot_copies_meet_their_class_by_broadcast(spark):
+    texts = ["one and the same text"] * 1500 + [f"text number {k}" for k in range(50)] + [None] * 3
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    assert {r.component_id for r in found if r.doc_id < 1500} == {0} and {r.component_id for r in found if r.doc_id >= 1550} == {1550}
+
+
 def test_groups_are_the_same_however_rows_come():
     rng = np.random.default_rng(2)
     rows = np.column_stack((np.sort(rng.integers(0, 6, 400)), rng.integers(-(1 << 62), 1 << 62, 400), rng.integers(0, 1 << 40, (400, 2))))
