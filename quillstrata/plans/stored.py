@@ -42,7 +42,7 @@ def served(spark: SparkSession, sf_dir: str) -> ChunkStore:
     root = f"{work_folder(spark)}/served-{hashlib.md5(repr((sf_dir, marks)).encode()).hexdigest()}"
     store = ChunkStore(spark, root)
     for profile, made in (("default", window_chunks), ("whole", whole_chunks)):
-        if store.postings_of([""], profile) is None:
+        if not store.has_text_index(profile):
             rows = made(spark, sf_dir)
             store.replace(_repos(files(spark, sf_dir)), rows, profile)
             store.build_text_index(profile)

@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,8 +224,12 @@ class ChunkStore:
         if not index or index["version"] != "3":
             return None
         rows = self.spark.read.parquet(f"{self._folder(profile)}/{index['path']}")
-        marks = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(index["buckets"])).alias("b")).distinct().collect()]
-        return rows.where(F.col("bucket").isin([int(b) for b in marks]) & F.col("term").isin(terms)).drop("bucket")
+        # Spark's xxhash64 of a string, without a job for a few terms
+        marks = {(h - (h >> 63 << 64)) % index["buckets"] for h in (xxhash.xxh64_intdigest(t.encode(), 42) for t in terms)}
+        return rows.where(F.col("bucket").isin(sorted(marks)) & F.col("term").isin(terms)).drop("bucket")
+
+    def has_text_index(self, profile: str = "default") -> bool:
+        return self._pointer(profile)["indexes"].get("text", {}).get("version") == "3"
 
     def build_vector_index(self, profile: str = "default") -> int | None:
         """Cells of vectors, from INDEXED_FROM rows on; how many, or None where the table is searched as it is."""
