@@ -4,6 +4,7 @@ import json
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,23 @@ def test_reranking_by_a_model_leaves_results_alone_if_it_fails():
     said: list[str] = []
     assert fusion.reranked(rows, "q", lambda pairs: [1.0], say=said.append) == rows and said
     assert fusion.reranked(rows, "q", lambda pairs: 1 / 0, say=said.append) == rows and len(said) == 2
+
+
+def test_postings_in_pieces(monkeypatch):
+    words = "red green blue grey red red".split()
+    rows = [(f"i{k // 2 if k < 8 else k}", "r", None if k == 5 else [words[(k * j) % 6] for j in range(k % 7)]) for k in range(30)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("id", "repo", "_t"), r, strict=True)) for r in rows[a:b]], pa.schema([("id", pa.string()), ("repo", pa.string()), ("_t", pa.list_(pa.string()))])) for a, b in ((0, 3), (3, 3), (3, 20), (20, 30))]
+    want: dict = {}
+    for i, repo, toks in rows:
+        for at, t in enumerate(toks or []):
+            want.setdefault((t, i, repo), []).append(at)
+    for run in (1, 7, 1 << 21):  # rows of one key (i0 to i3) stay in one piece
+        monkeypatch.setattr(bm25, "RUN", run)
+        pieces = list(bm25._cut(iter(batches), ["id", "repo"]))
+        assert sum(p.num_rows for p in pieces) == 30 and (len(pieces) == 1) == (run > 1000)
+        lists = [[r for b in bm25._listed(p, ["repo"]) for r in b.to_pylist()] for p in pieces]
+        assert all([r["term"] for r in x] == sorted(r["term"] for r in x) for x in lists)
+        found = [((r["term"], r["id"], r["repo"]), r["positions"]) for x in lists for r in x]
+        assert len(found) == len(want) and dict(found) == {k: sorted(v) for k, v in want.items()}
+        assert all(r["tf"] == len(r["positions"]) for x in lists for r in x)
+    assert list(bm25._cut(iter([]), ["id"])) == []

@@ -81,3 +81,8 @@ def test_no_query_has_a_cartesian_product(spark, sf_dir, name):
     assert "CartesianProduct" not in text
     # the only nested loops are those with a broadcast row of sums
     assert text.count("BroadcastNestedLoopJoin") == 0 or name.startswith(("bm25", "hybrid", "rrf", "fusion", "rerank"))
+
+
+def test_postings_are_listed_without_an_aggregation_of_tokens(stored):
+    text = plan(bm25.postings(stored, "repo"))
+    assert "Aggregate" not in text and "Generate" not in text and "MapInArrow" in text
