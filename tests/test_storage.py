@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import subprocess
 
 import pytest
@@ -14,6 +15,7 @@ from quillstrata.catalog import Catalog
 from quillstrata.model import StoreError, conform
 from quillstrata.operators.chunking import chunk_files
 from quillstrata.operators.embedding import HashBackend, embed_chunks
+from quillstrata.plans import stored
 from quillstrata.sources import files as sources
 from quillstrata.sources import git
 from quillstrata.store import ChunkStore
@@ -325,3 +327,10 @@ def test_changes_write_only_the_parts_they_touch(spark, tmp_path, monkeypatch):
     assert set(rows) == {f"i{k}" for k in range(60) if k not in (4, 5, 6, 7)} | {"again"} and rows["i3"] == "new"
     store.delete_repo("r")
     assert store.chunks().count() == 0 and store.stats() == {"total": 0, "repos": {}}
+
+
+def test_served_makes_what_is_asked_for(spark, sf_dir, tmp_path):
+    shutil.copy(f"{sf_dir}/documents.parquet", tmp_path)
+    own = stored.served(spark, str(tmp_path), "whole", text=False)
+    assert own.list_profiles() == ["whole"] and not own.has_text_index("whole")
+    assert stored.served(spark, str(tmp_path), "whole").has_text_index("whole") and own.list_profiles() == ["whole"]
