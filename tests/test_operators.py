@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from quillstrata.functions import text as fn
 from quillstrata.functions.similarity import change_ratio
 from quillstrata.model import RESULT_COLUMNS, StoreError, conform
-from quillstrata.operators import bm25, changes, fusion, history, keyword, structure, symbols, vector
+from quillstrata.operators import bm25, changes, embedding, fusion, history, keyword, structure, symbols, vector
 from quillstrata.operators.embedding import HashBackend, HttpBackend, create_backend, embed_chunks
 from quillstrata.plans import catalogue
 from quillstrata.sources.files import pattern_regex
@@ -360,3 +363,18 @@ def test_postings_in_pieces(monkeypatch):
         assert len(found) == len(want) and dict(found) == {k: sorted(v) for k, v in want.items()}
         assert all(r["tf"] == len(r["positions"]) for x in lists for r in x)
     assert list(bm25._cut(iter([]), ["id"])) == []
+
+
+def test_hash_backend_hashes_a_repeated_word_once(monkeypatch):
+    asked = []
+    own = lambda data, digest_size: asked.append(data) or hashlib.blake2b(data, digest_size=digest_size)
+    monkeypatch.setattr(embedding, "hashlib", SimpleNamespace(blake2b=own))
+    text = "Zqxj zqxj_É " * 500 + "the" + "\ud800"
+    found = HashBackend(16).embed_query(text)
+    assert len(asked) < 30
+    out = np.zeros(16)
+    for word in re.findall(r"\w+", text.lower()):
+        for weight, part in ((1.0, f"<{word}>"), *((0.25, f"<{word}>"[i : i + 3]) for i in range(len(word)))):
+            h = int.from_bytes(hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            out[h % 16] += weight if h >> 63 else -weight
+    assert found == (out / np.sqrt(out @ out)).tolist() and HashBackend(16).embed_query(" ") == [0.0] * 16
