@@ -86,3 +86,8 @@ def test_no_query_has_a_cartesian_product(spark, sf_dir, name):
 def test_postings_are_listed_without_an_aggregation_of_tokens(stored):
     text = plan(bm25.postings(stored, "repo"))
     assert "Aggregate" not in text and "Generate" not in text and "MapInArrow" in text
+
+
+def test_terms_are_counted_without_lists_of_tokens_in_the_shuffle(spark, sf_dir):
+    text = plan(catalogue.QUERIES["postings_terms"](spark, sf_dir))
+    assert "collect_list" not in text and "posexplode" not in text and "HashAggregate" in text
