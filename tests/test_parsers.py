@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillstrata.operators import chunking
 from quillstrata.parsers import chunk_text, language_of
 from quillstrata.parsers.lines import windows
 
@@ -134,3 +136,12 @@ def test_size_cap_conserves_content():
 
 def test_languages():
     assert [language_of(e) for e in (".tsx", ".jsx", ".bash", ".md", ".rs", "")] == ["typescript", "javascript", "shell", "markdown", "rs", ""]
+
+
+def test_a_long_file_is_handed_on_in_small_batches():
+    texts = ["", None, "one", "".join(f"line {i}\n" for i in range(60_000)), "two"]
+    batch = pa.RecordBatch.from_pylist([{"repo": "r", "file": f"{k}.txt", "extension": ".txt", "text": t} for k, t in enumerate(texts)], pa.schema([(c, pa.string()) for c in ("repo", "file", "extension", "text")]))
+    made = list(chunking._chunked(iter([batch]), 1 << 30, 8, 2))
+    assert max(b.num_rows for b in made) <= chunking.BATCH_ROWS < sum(b.num_rows for b in made)
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["file"], r["chunk_index"], r["text"]) for r in rows] == [(f"{k}.txt", i, c.text) for k, t in enumerate(texts) for i, c in enumerate(chunk_text(t or "", ".txt", 1 << 30, 8, 2))]
