@@ -18,7 +18,7 @@ from quillstrata.operators.embedding import HashBackend, embed_chunks
 from quillstrata.plans import stored
 from quillstrata.sources import files as sources
 from quillstrata.sources import git
-from quillstrata.store import ChunkStore
+from quillstrata.store import BUCKETS, ChunkStore
 from quillstrata.streaming import ingest
 from quillstrata.streaming.ingest import SCHEMA, apply_changes
 
@@ -334,3 +334,13 @@ def test_served_makes_what_is_asked_for(spark, sf_dir, tmp_path):
     own = stored.served(spark, str(tmp_path), "whole", text=False)
     assert own.list_profiles() == ["whole"] and not own.has_text_index("whole")
     assert stored.served(spark, str(tmp_path), "whole").has_text_index("whole") and own.list_profiles() == ["whole"]
+
+
+def test_a_text_index_is_written_without_another_sort(spark, sf_dir, tmp_path, monkeypatch):
+    shutil.copy(f"{sf_dir}/documents.parquet", tmp_path)
+    own, name = stored.served(spark, str(tmp_path), "whole", text=False), "spark.sql.maxConcurrentOutputFileWriters"
+    before, asked = spark.conf.get(name), []
+    monkeypatch.setattr(own, "_conf", lambda *x: asked.append(x) or ChunkStore._conf(own, *x))
+    own.build_text_index("whole")
+    assert [(n, int(v) > BUCKETS) for n, v in asked] == [(name, True)]  # as many as that, and Spark sorts
+    assert spark.conf.get(name) == before
