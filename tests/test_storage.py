@@ -7,15 +7,19 @@ import os
 import shutil
 import subprocess
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quillstrata import cli, config, indexing
 from quillstrata.catalog import Catalog
 from quillstrata.model import StoreError, conform
+from quillstrata.operators import bm25
 from quillstrata.operators.chunking import chunk_files
 from quillstrata.operators.embedding import HashBackend, embed_chunks
-from quillstrata.plans import stored
+from quillstrata.plans import catalogue, stored
 from quillstrata.sources import files as sources
 from quillstrata.sources import git
 from quillstrata.store import BUCKETS, ChunkStore
@@ -344,3 +348,29 @@ def test_a_text_index_is_written_without_another_sort(spark, sf_dir, tmp_path, m
     own.build_text_index("whole")
     assert [(n, int(v) > BUCKETS) for n, v in asked] == [(name, True)]  # as many as that, and Spark sorts
     assert spark.conf.get(name) == before
+
+
+def test_texts_of_one_id_are_ranked_apart(spark, tmp_path):
+    texts = ["of the red and", "the of blue", "and of the of the", None, "and so on of the"]
+    pq.write_table(pa.table({"doc_id": [1, 1, 1, 2, 3], "text": texts, "lang": ["en"] * 5, "source": ["a", "a", "a", None, "b"]}), tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    found = catalogue.QUERIES["bm25_phrase"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.score) for r in found) == sorted(db.execute(catalogue.ORACLE_SQL["bm25_phrase"]).fetchall())
+
+
+def test_a_text_index_holds_keys_once_and_is_made_without_a_shuffle(spark, sf_dir, tmp_path):
+    shutil.copy(f"{sf_dir}/documents.parquet", tmp_path)
+    own = stored.served(spark, str(tmp_path), "whole", text=False)
+    made = bm25.index_rows(own.chunks("whole"))
+    assert "Exchange" not in made._jdf.queryExecution().toString() and "Sort" not in made._jdf.queryExecution().toString()
+    own.build_text_index("whole")
+    rows = spark.read.parquet(f"{own._folder('whole')}/{own._pointer('whole')['indexes']['text']['path']}")
+    n = own.chunks("whole").count()
+    assert rows.where("file IS NOT NULL").count() == rows.where("term IS NULL").select("row").distinct().count() == n < rows.count()
+    # an index of the layout before is none, and is made anew
+    state = own._pointer("whole")
+    del state["indexes"]["text"]["by"]
+    own._point("whole", state)
+    assert own.postings_of(["the"], "whole") is None and not own.has_text_index("whole")
+    assert stored.served(spark, str(tmp_path), "whole").has_text_index("whole")
