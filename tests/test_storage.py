@@ -374,3 +374,20 @@ def test_a_text_index_holds_keys_once_and_is_made_without_a_shuffle(spark, sf_di
     own._point("whole", state)
     assert own.postings_of(["the"], "whole") is None and not own.has_text_index("whole")
     assert stored.served(spark, str(tmp_path), "whole").has_text_index("whole")
+
+
+def test_reranking_is_served_from_postings_that_name_rows_only(spark, sf_dir, tmp_path):
+    for name in ("documents", "embeddings"):
+        shutil.copy(f"{sf_dir}/{name}.parquet", tmp_path)
+    found = catalogue.QUERIES["rerank_top30"](spark, str(tmp_path)).collect()
+    own = stored.served(spark, str(tmp_path))
+    rows = spark.read.parquet(f"{own._folder('default')}/{own._pointer('default')['indexes']['text']['path']}")
+    postings = rows.where("term IS NOT NULL")
+    named = [F.count(c).alias(c) for c in ("id", "repo", "file", "start_line", "len")]
+    assert postings.count() > own.chunks().count() and not any(postings.select(*named).head())
+    laid = rows.where("term IS NULL").select("id", "repo", "file", "start_line")
+    assert laid.count() == own.chunks().count() and laid.exceptAll(own.chunks().select(*laid.columns)).count() == 0
+    db = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    assert sorted(map(tuple, found)) == sorted(db.execute(catalogue.ORACLE_SQL["rerank_top30"]).fetchall())
