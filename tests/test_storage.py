@@ -391,3 +391,11 @@ def test_reranking_is_served_from_postings_that_name_rows_only(spark, sf_dir, tm
     for name in ("documents", "embeddings"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     assert sorted(map(tuple, found)) == sorted(db.execute(catalogue.ORACLE_SQL["rerank_top30"]).fetchall())
+
+
+def test_reranking_shuffles_no_text_to_find_lines(spark, sf_dir, tmp_path):
+    for name in ("documents", "embeddings"):
+        shutil.copy(f"{sf_dir}/{name}.parquet", tmp_path)  # one file, fewer than there are cores
+    assert len(spark.read.parquet(str(tmp_path / "documents.parquet")).inputFiles()) < spark.sparkContext.defaultParallelism
+    made = catalogue.QUERIES["rerank_top30"](spark, str(tmp_path))
+    assert "RoundRobinPartitioning" not in made._jdf.queryExecution().executedPlan().toString()
